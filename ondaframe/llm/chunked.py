@@ -158,3 +158,14 @@ class ChunkEncoder(PartCache):
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
         return out
+
+
+_loaded: dict[tuple, ChunkEncoder] = {}
+
+
+def loaded(path: str, kind: str, width: int = 4) -> ChunkEncoder:
+    """The encoder of this worker process: its parts serve all tasks that the process runs."""
+    key = (path, kind, width)
+    if key not in _loaded:
+        _loaded[key] = ChunkEncoder(path, kind, width)
+    return _loaded[key]

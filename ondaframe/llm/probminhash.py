@@ -109,10 +109,10 @@ def sketch(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, owners: int
     who = np.zeros(owners * registers, dtype=np.uint32)
     last = np.full(owners, np.inf)
     key, rate, own, t = keys, weights, owner, np.zeros(len(keys))
-    step = np.uint64(0)
+    step = 0
     while len(key):
-        step += np.uint64(1)
-        u = _mix(key + step * _GOLD)
+        step += 1
+        u = _mix(key + np.uint64(step * int(_GOLD) % 2**64))
         t = t - np.log(((u >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52) / rate
         on = np.flatnonzero(t < last[own])
         key, rate, own, t, u = key[on], rate[on], own[on], t[on], u[on]

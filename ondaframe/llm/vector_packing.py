@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import ChunkEncoder
+from .chunked import loaded
 
 
 @dataclass(frozen=True)
@@ -151,7 +151,7 @@ def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, numbers = ChunkEncoder(path, kind), Packer(limits), _sequence_ids()
+        encoder, packer, numbers = loaded(path, kind), Packer(limits), _sequence_ids()
         end = int(end_id).to_bytes(4, "little")
         rows_out: list[tuple] = []
 
@@ -193,7 +193,7 @@ def pack_conversations(turns: DataFrame, path: str, kind: str = "word", end_id:
     """
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, kind)
+        encoder = loaded(path, kind)
         for batch in batches:
             n = [len(x) // 4 + 1 for x in encoder.encode(batch.column(2).to_pylist())]
             role = batch.column(1).to_pylist()

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunked import ChunkEncoder
+from .chunked import loaded
 from .common import stage_out
 
 MAGIC = b"FVB1"
@@ -63,7 +63,7 @@ def tokenize(docs: DataFrame, path: str, kind: str, end_id: int, rows: int = 256
     """doc_id, ids (16-bit little-endian, end_id appended).  Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, kind, width=2)
+        encoder = loaded(path, kind, width=2)
         end = int(end_id).to_bytes(2, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, rows):

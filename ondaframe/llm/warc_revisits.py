@@ -121,13 +121,13 @@ with p as (
     regexp_replace(regexp_extract(b, '^[^/?]*(.*)$', 1), '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g') as rest from bare
 ), keyed as (
   select *, host || regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', ''), '/+$', '') as canonical_url from kept
-), asof as (
+), found as (
   select *, max(case when kind = 'response' then struct_pack(ts := ts, record_id := record_id, etag := etag, modified := modified, digest := digest, size := size) end)
     over (partition by canonical_url order by ts range between unbounded preceding and 1 preceding) as r from keyed
 ), judged as (
   select *, case when r is null then 'orphan'
     when coalesce(case when etag is not null then regexp_replace(etag, '^W/', '') = regexp_replace(r.etag, '^W/', '') else modified = r.modified end, false) then 'resolved'
-    else 'mismatch' end as outcome from asof where kind = 'revisit'
+    else 'mismatch' end as outcome from found where kind = 'revisit'
 )
 select record_id, canonical_url, ts, outcome, r.record_id as response_id,
   case when outcome = 'resolved' then 200 end as status,
