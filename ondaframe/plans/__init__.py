@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, a module for each family of operators."""
+
+from . import decoder, encoder, fixed_point, transforms  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
