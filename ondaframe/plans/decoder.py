@@ -61,7 +61,7 @@ def _noise(seed, n: int):
 
 @plan(
     "d3_noise_substitution",
-    "with recursive r as (select event_id, 0 as i, ((((event_id * 2654435769) & 4294967295) + 2147483648) & 4294967295) - 2147483648 as s, event_id % 40 as energy from events where event_id < 100000000 union all select event_id, i + 1, (((s * 1664525 + 1013904223) + 2147483648) & 4294967295) - 2147483648, energy from r where i < 8) select event_id, i - 1 as i, round((s >> 3) / sqrt(sum(pow(s >> 3, 2)) over (partition by event_id)) * pow(2.0, energy / 4.0), 6) as x from r where i > 0",
+    "with recursive r as (select event_id, 0 as i, ((((event_id * 2654435769) & 4294967295) + 2147483648) & 4294967295) - 2147483648 as s, event_id % 40 as energy from events union all select event_id, i + 1, (((s * 1664525 + 1013904223) + 2147483648) & 4294967295) - 2147483648, energy from r where i < 8) select event_id, i - 1 as i, round((s >> 3) / sqrt(sum(pow(s >> 3, 2)) over (partition by event_id)) * pow(2.0, energy / 4.0), 6) as x from r where i > 0",
 )
 def d3(spark, sf_dir):
     """Bands of 8 lines, each frame's seed its own, scaled to the band's energy."""

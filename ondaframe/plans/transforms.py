@@ -115,7 +115,7 @@ def t11(spark, sf_dir):
     return long_form(met.select("stream", "f", F.zip_with("head", "p", lambda a, b: F.round(a + b, 6) + 0.0).alias("x")), "x", "i", "x")
 
 
-@plan("t12_eight_short", "with e as (select vec_id, cast(unnest(embedding) as double) as x, unnest(range(64)) as p from embeddings), s as (select vec_id, p // 8 as w, p % 8 as k, x from e), n as (select unnest(range(16)) as i), y as (select vec_id, w, i, sum(x * cos(pi() / 8 * (i + 4.5) * (k + 0.5))) / 8 * sin(pi() * (i + 0.5) / 16) as y from s, n group by all) select vec_id, 28 + w * 8 + i as i, round(sum(y), 8) as y from y group by vec_id, 28 + w * 8 + i")
+@plan("t12_eight_short", "with e as (select vec_id, cast(unnest(embedding) as double) as x, unnest(range(64)) as p from embeddings), s as (select vec_id, p // 8 as w, p % 8 as k, x from e), n as (select unnest(range(16)) as i), y as (select vec_id, w, i, sum(x * cos(pi() / 8 * (i + 4.5) * (k + 0.5))) / 8 * sin(pi() * (i + 0.5) / 16) as y from s, n group by vec_id, w, i) select vec_id, j as i, round(sum(y), 8) as y from (select vec_id, 28 + w * 8 + i as j, y from y) z group by vec_id, j")
 def t12(spark, sf_dir):
     """Eight spectra of 8 lines, transformed back, windowed and overlapped inside a block of 128."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda w: F.slice("x", w * 8 + 1, 8))
