@@ -33,9 +33,9 @@ class Settings:
     beta: float = 1.0
     l1: float = 20.0
     l2: float = 1.0
-    epochs: int = 4
+    epochs: int = 6
     #: A toxic row counts so many times.
-    toxic_weight: float = 7.0
+    toxic_weight: float = 3.0
     #: Most labelled rows that training reads, smallest hash of doc_id first.
     max_rows: int = 12_000
     #: Most weights that the model keeps, largest first.
