@@ -2,7 +2,7 @@
 
 #: Band widths of a 128-line short window at 48 and 44.1 kHz, and of a 1024-line long window at the same rates.
 SHORT_48 = [4, 4, 4, 4, 4, 8, 8, 8, 12, 12, 12, 16, 16, 16]
-LONG_48 = [4] * 10 + [8] * 7 + [12] * 4 + [16] * 3 + [20] * 2 + [24] * 2 + [28] * 2 + [32] * 18 + [96]
+LONG_48 = [4] * 10 + [8] * 7 + [12] * 4 + [16] * 2 + [20] * 2 + [24] * 2 + [28] * 2 + [32] * 19 + [96]
 #: Least rate of each sampling-rate index 0 to 11.
 RATE_BOUNDARIES = [92017, 75132, 55426, 46009, 37566, 27713, 23004, 18783, 13856, 11502, 9391, 0]
 #: Sampling rates by index.

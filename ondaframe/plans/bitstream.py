@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions.tables import RATES
+from ..sources.containers import scan_adts
 from ..sources.signals import table
 from .registry import plan
 
@@ -87,19 +88,6 @@ def s2(spark, sf_dir):
     return h.select("event_id", *[F.col(f"h.{c}").alias(c) for c in ("object_type", "rate", "channels", "length", "fullness", "protection_absent")])
 
 
-def scan_frames(data: bytes) -> list[tuple[int, int]]:
-    """Spans of frames: at each sync word with a fitting length the scan jumps its length, else one byte on."""
-    out, at = [], 0
-    while (at := data.find(b"\xff", at)) >= 0 and at + 7 <= len(data):
-        n = (data[at + 3] & 3) << 11 | data[at + 4] << 3 | data[at + 5] >> 5
-        if data[at + 1] & 0xF0 == 0xF0 and (data[at + 2] >> 2 & 15) < 13 and n >= 7 and at + n <= len(data):
-            out.append((at, at + n))
-            at += n
-        else:
-            at += 1
-    return out
-
-
 @plan("s1_adts_scan")
 def s1(spark, sf_dir):
     """Rows only: spans of frames in streams made of headers, payloads of zeros and junk."""
@@ -111,7 +99,7 @@ def s1(spark, sf_dir):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, k, a, e) for s, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (a, e) in enumerate(scan_frames(b))]
+            rows = [(s, k, a, e) for s, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (a, e) in enumerate(scan_adts(b))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["stream", "frame", "lo", "hi"])
 
