@@ -9,8 +9,8 @@ probability J_P, the probability Jaccard similarity of their weights.
 
 Registers are banded.  Each bucket's least text is compared with all its
 others, which is linear in the bucket; what then still stands apart within a
-bucket is compared block by block, so that no pair which shares a bucket goes
-unjudged.  Pairs whose registers agree well enough are verified: J_P is worked
+bucket is compared block by block, each text's best pairs first, so that no
+pair which shares a bucket goes unjudged unless its texts are linked already.  Pairs whose registers agree well enough are verified: J_P is worked
 out exactly from the whole texts.  Classes are the components of verified links.
 """
 
@@ -43,6 +43,8 @@ class Settings:
     bands: int = 25
     #: A pair is verified if its share of agreeing registers is this far (4 standard deviations) below the similarity or higher.
     slack: float = 0.14
+    #: Pairs that a text which stands apart gets first, per block.
+    best: int = 4
     #: Most members of a bucket that one step compares with one another.
     block: int = 2048
     #: Most ids that are broadcast to pick the texts to verify; beyond, they are joined.
@@ -183,13 +185,18 @@ def _pairs_alike(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (u, v, similarity) whose exact J_P reaches the similarity.  pairs: a, b, distinct."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _texts(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, text of the documents in ids (distinct doc_id), at least; only those where ids are few enough to broadcast."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if ids.limit(s.broadcast_ids + 1).count() <= s.broadcast_ids:
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return texts
+
+
+def verify(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (u, v, similarity) whose exact J_P reaches the similarity.  pairs: a, b, distinct."""
+    spark = docs.sparkSession
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), s)
     roles = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), "a", "b", F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), "a", "b", F.lit(1).alias("side")))).alias("r")).select("r.*")
     sides = roles.join(texts, "doc_id").select("a", "b", "side", "text")
     least = s.similarity
@@ -214,30 +221,51 @@ def verify(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     return sides.repartition(n, "a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(run, "u bigint, v bigint, similarity double")
 
 
-def _apart(members: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
-    """Alike pairs (a, b) of one bucket that stand in different components.
+def _meetings(members: DataFrame, payload: DataFrame, s: Settings, rest_block: int, block: int) -> DataFrame:
+    """Rows for comparing, in each bucket of several components, all that are not of its commonest one with all members.
 
-    members: bucket, doc_id, label.  In each bucket all that are not of its
-    commonest label meet all members, in blocks of bounded size.
+    members: bucket, band, doc_id, label; payload: doc_id and what travels along.
+    Keys (bucket, block, rest): at most about rest_block rows of side 0 and
+    `block` of side 1, whatever the bucket's size.  Sorted by key, then side.
     """
     by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     sizes = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where(F.col("labels") > 1)
-    blocks = F.ceil(F.col("n") / s.block).cast("int")
-    rest_blocks = F.ceil((F.col("n") - F.col("top.n")) / s.block).cast("int")
-    known = members.join(sizes.select("bucket", F.col("top.label").alias("top"), blocks.alias("blocks"), rest_blocks.alias("rests")), "bucket").join(sigs, "doc_id")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rests = F.ceil((F.col("n") - F.col("top.n")) / rest_block).cast("int")
+    known = members.join(sizes.select("bucket", F.col("top.label").alias("top"), blocks.alias("blocks"), rests.alias("rests")), "bucket").join(payload, "doc_id")
     at = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n).cast("int")
-    rest = known.where(F.col("label") != F.col("top")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at(1, F.col("rests")).alias("rest"), F.lit(0).alias("side"), "doc_id", "label", "sig")
-    all_of = known.select("bucket", at(2, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), F.lit(1).alias("side"), "doc_id", "label", "sig")
-    least = s.similarity - s.slack
+    along = ["band", "doc_id", "label", *(c for c in payload.columns if c != "doc_id")]
+    rest = known.where(F.col("label") != F.col("top")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at(1, F.col("rests")).alias("rest"), F.lit(0).alias("side"), *along)
+    all_of = known.select("bucket", at(2, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), F.lit(1).alias("side"), *along)
+    keys = ["bucket", "block", "rest"]
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rest.unionByName(all_of).repartition(n, *keys).sortWithinPartitions(*keys, "side", "doc_id")
+
+
+def _best_apart(members: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
+    """Alike pairs (a, b) of one bucket in different components: of each text that stands apart, the `best` a block."""
+    least, best = s.similarity - s.slack, s.best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, labels, sig = None, [], [], []
-        ids_a = labels_a = sig_a = None
+        ids_a = labels_a = sig_a = top = who = None
+        out: list[np.ndarray] = []
+
+        def close() -> None:
+            if top is not None:
+                r, c = np.nonzero(top >= least)
+                out.append(np.stack([np.minimum(ids_a[r], who[r, c]), np.maximum(ids_a[r], who[r, c])]))
+
+        def made() -> pa.RecordBatch:
+            a, b = np.concatenate(out, axis=1)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         for batch in batches:
-            out_a, out_b = [], []
-            for bucket, block, rest, side, doc, label, sg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, block, rest, side, _, doc, label, sg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (bucket, block, rest) != now:
-                    now, ids, labels, sig, sig_a = (bucket, block, rest), [], [], [], None
+                    close()
+                    now, ids, labels, sig, sig_a, top = (bucket, block, rest), [], [], [], None, None
                 if side == 0:
                     ids.append(doc), labels.append(label), sig.append(np.frombuffer(sg, np.uint32))
                     continue
@@ -245,15 +273,69 @@ def _apart(members: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
                     continue
                 if sig_a is None:
                     ids_a, labels_a, sig_a = np.array(ids), np.array(labels), np.stack(sig)
-                hit = np.flatnonzero((labels_a != label) & (_agree(sig_a, np.frombuffer(sg, np.uint32), s.registers) >= least))
-                for o in ids_a[hit].tolist():
-                    out_a.append(min(o, doc)), out_b.append(max(o, doc))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b)], ["a", "b"])
+                    top, who = np.zeros((len(ids), best)), np.zeros((len(ids), best), dtype=np.int64)
+                share = np.where(labels_a != label, _agree(sig_a, np.frombuffer(sg, np.uint32), s.registers), 0.0)
+                worst = top.argmin(axis=1)
+                up = np.flatnonzero(share > top[np.arange(len(top)), worst])
+                top[up, worst[up]], who[up, worst[up]] = share[up], doc
+            if out:
+                yield made()
+        close()
+        if out:
+            yield made()
 
-    keys = ["bucket", "block", "rest"]
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rest.unionByName(all_of).repartition(n, *keys).sortWithinPartitions(*keys, "side", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
+    return _meetings(members, sigs, s, s.block, s.block).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _judge_apart(docs: DataFrame, members: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
+    """Verified links (u, v, similarity) between the components of a bucket: every alike pair is judged where it meets.
+
+    The texts travel with their blocks, so the pairs themselves never become
+    rows.  A pair is judged in the first band that it shares; a text that is
+    linked to a component needs no second link to it in its block.
+    """
+    several = members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
+    few = members.join(several, "bucket", "left_semi")
+    payload = sigs.join(_texts(docs, few.select("doc_id").distinct(), s), "doc_id").dropDuplicates(["doc_id"])
+    least, limit = s.similarity - s.slack, s.similarity - 1e-12
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(s.words, 1 << 19)
+        now, ids, labels, sig, texts = None, [], [], [], []
+        sig_a, profiles, linked = None, {}, set()
+        for batch in batches:
+            out = []
+            for bucket, block, rest, side, band, doc, label, sg, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, block, rest) != now:
+                    now, ids, labels, sig, texts, sig_a, profiles, linked = (bucket, block, rest), [], [], [], [], None, {}, set()
+                mine = np.frombuffer(sg, np.uint32)
+                if side == 0:
+                    ids.append(doc), labels.append(label), sig.append(mine), texts.append(text)
+                    continue
+                if not ids:
+                    continue
+                if sig_a is None:
+                    sig_a, labels_a = np.stack(sig), np.array(labels)
+                same = sig_a == mine
+                hits = np.flatnonzero((labels_a != label) & (same.sum(axis=1) >= least * s.registers))
+                if not len(hits):
+                    continue
+                bands = same[hits, : s.rows * s.bands].reshape(len(hits), s.bands, s.rows).all(axis=2)
+                own = None
+                for i in hits[bands.argmax(axis=1) == band].tolist():
+                    if (i, label) in linked:
+                        continue
+                    if i not in profiles:
+                        profiles[i] = shingler.shingles(texts[i])
+                    own = own or shingler.shingles(text)
+                    j = probability_jaccard(*profiles[i], *own)
+                    if j >= limit:
+                        linked.add((i, label))
+                        out.append((min(ids[i], doc), max(ids[i], doc), j))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["u", "v", "similarity"])
+
+    return _meetings(few, payload, s, max(1, s.block // 8), max(1, s.block // 4)).mapInArrow(run, "u bigint, v bigint, similarity double")
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -269,16 +351,21 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sigs = texts.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "sig")
     width = 4 * s.rows
     hashes = F.array(*[F.xxhash64(F.lit(k), F.expr(f"substring(sig, {k * width + 1}, {width})")) for k in range(s.bands)])
-    rows = sigs.select("doc_id", F.explode(hashes).alias("bucket"))
+    rows = sigs.select("doc_id", F.posexplode(hashes).alias("band", "bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).select("bucket", "hub")
     members = stage_out(rows.join(hubs, "bucket"), "buckets")
     stars = members.where(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried = stage_out(_pairs_alike(stars, sigs, s), "pairs")
     links = stage_out(verify(docs, tried, s), "links")
     label = components(links.select("u", "v"))
-    named = members.join(label, F.col("doc_id") == F.col("u"), "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    more = stage_out(_apart(named, sigs, s).join(tried, ["a", "b"], "left_anti"), "pairs")
+    standing = lambda: members.join(label, F.col("doc_id") == F.col("u"), "left").select("bucket", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    # most of what stands apart is linked by its best pairs; then all that still does is judged
+    more = stage_out(_best_apart(standing(), sigs, s).join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
-        label = components(links.select("u", "v").unionByName(stage_out(verify(docs, more, s), "links").select("u", "v")))
+        links = links.unionByName(stage_out(verify(docs, more, s), "links"))
+        label = components(links.select("u", "v"))
+    last = stage_out(_judge_apart(docs, standing(), sigs, s), "links")
+    if last.limit(1).count():
+        label = components(links.unionByName(last).select("u", "v"))
     named = texts.select("digest", F.col("doc_id").alias("rep")).join(label, F.col("rep") == F.col("u"), "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     return marks.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
