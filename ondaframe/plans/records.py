@@ -10,8 +10,6 @@ from ..functions.tables import GROUPING, RATE_BOUNDARIES, SHORT_48
 from ..sources.signals import table
 from .registry import plan
 
-E = F.col("event_id")
-
 #: Methods whose value is a loudness in quarter steps.
 _LOUDNESS = (0, 1, 2, 4, 5, 6)
 
@@ -22,7 +20,8 @@ _LOUDNESS = (0, 1, 2, 4, 5, 6)
 )
 def o18(spark, sf_dir):
     """Methods 0 to 9 of a loudness record: quarter-step loudness, a three-piece range, mixing level, room, half steps."""
-    m, r = E % 10, E * 37 % 256
+    e = F.col("event_id")
+    m, r = e % 10, e * 37 % 256
     spread = F.when(r == 0, 0.0).when(r <= 128, r * 0.25).when(r <= 204, r * 0.5 - 32).otherwise(r - 134.0)
     value = F.when(m.isin(*_LOUDNESS), r * 0.25 - 57.75).when(m == 3, spread).when(m == 7, r % 32 + 80.0).when(m == 8, (r % 4).cast("double")).otherwise(r * 0.5 - 116)
     return table(spark, sf_dir, "events").select("event_id", F.round(value, 6).alias("value"))
@@ -34,11 +33,12 @@ def o18(spark, sf_dir):
 )
 def o22(spark, sf_dir):
     """Downmix offset in half dB: none, by channel counts in whole or half steps, or by the coefficients' power."""
-    a = 20 * F.log10((1 + E % 7) / (1 + E % 5))
-    power = lambda m: F.pow(F.lit(10.0), -(E % m) * 0.1)
+    e = F.col("event_id")
+    a = 20 * F.log10((1 + e % 7) / (1 + e % 5))
+    power = lambda m: F.pow(F.lit(10.0), -(e % m) * 0.1)
     b = 10 * F.log10(power(11) + power(13))
     half = lambda x: F.floor(x + 0.5) * 0.5
-    db = F.when(E % 4 == 0, 0.0).when(E % 4 == 1, half(a)).when(E % 4 == 2, half(a * 2)).otherwise(half(b * 2))
+    db = F.when(e % 4 == 0, 0.0).when(e % 4 == 1, half(a)).when(e % 4 == 2, half(a * 2)).otherwise(half(b * 2))
     return table(spark, sf_dir, "events").select("event_id", (F.round(db, 6) + 0.0).alias("db"))
 
 
@@ -49,7 +49,8 @@ _GROUP = [0, 0, 1, 2, 2, 3, 4, 4, 5, 5, 5, 6]
 @plan("p10_band_table", "select event_id, [0, 0, 1, 2, 2, 3, 4, 4, 5, 5, 5, 6][1 + case " + " ".join(f"when hz >= {b} then {i}" for i, b in enumerate(RATE_BOUNDARIES)) + " end] as layout from (select event_id, event_id * 53 % 100000 as hz from events) t")
 def p10(spark, sf_dir):
     """Layout group of a rate: its index by the boundaries, then the group that shares the band table."""
-    hz = E * 53 % 100000
+    e = F.col("event_id")
+    hz = e * 53 % 100000
     below = sum((F.when(hz < b, 1).otherwise(0) for b in RATE_BOUNDARIES), F.lit(0))
     return table(spark, sf_dir, "events").select("event_id", F.get(F.array(*map(F.lit, _GROUP)), below).alias("layout"))
 
@@ -73,8 +74,9 @@ def p12(spark, sf_dir):
 )
 def q10(spark, sf_dir):
     """Mixing matrix by principal axes: the angle of the pair's covariance and its spread."""
-    c = F.pow(F.lit(10.0), (E % 31 - 15.5) / 20)
-    rho = F.greatest(F.lit(0.05), (E % 21) / 20)
+    e = F.col("event_id")
+    c = F.pow(F.lit(10.0), (e % 31 - 15.5) / 20)
+    rho = F.greatest(F.lit(0.05), (e % 21) / 20)
     turn = F.atan(c * rho * 2 / (c * c - 1)) * 0.5
     alpha = F.when(turn < 0, turn + math.pi / 2).otherwise(turn)
     root = F.sqrt(F.greatest(F.lit(0.0), (rho * rho * 4 - 4) / ((c + 1 / c) * (c + 1 / c)) + 1))
@@ -99,8 +101,9 @@ def h12(spark, sf_dir):
 @plan("o17_gain_record", "select event_id, '0' || '0' || '0' || '1' || lpad(bin(lvl), 7, '0') || '0' || case when g < 0 then '1' else '0' end || lpad(bin(abs(g)), 7, '0') as bits from (select event_id, event_id % 128 as lvl, event_id % 255 - 127 as g from events) t")
 def o17(spark, sf_dir):
     """A one-band gain record with a reference level, as bits."""
-    g = E % 255 - 127
-    bits = F.concat(F.lit("0001"), F.lpad(F.bin(E % 128), 7, "0"), F.lit("0"), F.when(g < 0, "1").otherwise("0"), F.lpad(F.bin(F.abs(g)), 7, "0"))
+    e = F.col("event_id")
+    g = e % 255 - 127
+    bits = F.concat(F.lit("0001"), F.lpad(F.bin(e % 128), 7, "0"), F.lit("0"), F.when(g < 0, "1").otherwise("0"), F.lpad(F.bin(F.abs(g)), 7, "0"))
     return table(spark, sf_dir, "events").select("event_id", bits.alias("bits"))
 
 

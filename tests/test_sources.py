@@ -57,3 +57,13 @@ def test_streams_are_the_same_however_cut(spark, tmp_path):
         streaming.peak_limiter(blocks, 8000).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
     rows = spark.read.parquet(out).orderBy("n").collect()
     assert np.allclose(np.concatenate([r.y for r in rows]), whole[:, 0]) and np.allclose(np.concatenate([r.gain for r in rows]), gain)
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
