@@ -71,6 +71,26 @@ class NgramTable:
         return np.concatenate(out).astype(np.int32)
 
 
+    def word_sums(self, words: list[str], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of many words at once: the summed weights of their grams, and how many grams they have."""
+        parts = [f" {x} ".encode("utf-8", "replace") for x in words]
+        size = np.array([len(x) for x in parts])
+        data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+        owner = np.repeat(np.arange(len(words)), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(data))  # bytes to the word's end
+        sums, count = np.zeros((len(words), w.shape[1])), np.zeros(len(words))
+        h = np.zeros(len(data), np.uint32)
+        for n in range(1, min(self.longest, len(data)) + 1):
+            h = h[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(n)
+            inside = np.flatnonzero(left[: len(h)] >= n)
+            x = (h[inside] ^ (h[inside] >> np.uint32(15))) * np.uint32(0x846CA68B)
+            hit, own = w[x >> np.uint32(32 - self.bits)], owner[inside]
+            count += np.bincount(own, minlength=len(words))
+            for bit in range(w.shape[1]):
+                sums[:, bit] += np.bincount(own, hit[:, bit], minlength=len(words))
+        return sums, count
+
+
 def _words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -78,9 +98,15 @@ def _words(text: str | None) -> list[str]:
 def train(texts: list[str], languages: np.ndarray, codes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Weights (buckets x bits) and each bit's accuracy, by stochastic gradients on relative gram counts."""
     table = NgramTable(s.bits, s.longest)
-    rows = []
+    rows, known = [], {}
     for t in texts:
-        g = [table.grams(w) for w in _words(t)]
+        g = []
+        for w in _words(t):
+            if w not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[w] = table.grams(w)
+            g.append(known[w])
         idx, n = np.unique(np.concatenate(g), return_counts=True) if g else (np.zeros(0, np.int32), np.zeros(0))
         rows.append((idx, n / max(1, n.sum())))
     w = np.zeros((1 << s.bits, codes.shape[1]), dtype=np.float32)
@@ -163,34 +189,50 @@ def predict(docs: DataFrame, model: Model, keep: list[str], s: Settings = Settin
         room = 1 << 18
         sums, grams, rows = np.zeros((room, codes.shape[1]), dtype=np.float32), np.zeros(room, dtype=np.float32), {}
 
-        def margins(text: str) -> np.ndarray:
-            words = _words(text)
-            total, n = np.zeros(codes.shape[1]), 0.0
-            for at in range(0, len(words), 100_000):
-                part = words[at : at + 100_000]
-                if len(rows) + len(part) > room:
+        def totals(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Summed margins and gram counts of texts; at most room / 2 words are looked up at a time."""
+            total, n = np.zeros((len(texts), codes.shape[1])), np.zeros(len(texts))
+            segments: list[tuple[int, list[str]]] = []
+            held = 0
+
+            def flush() -> None:
+                new = {x for _, part in segments for x in part if x not in rows}
+                if len(rows) + len(new) > room:
                     rows.clear()
-                found = list(map(rows.get, part))
-                if None in found:
-                    for i, k in enumerate(found):
-                        if k is None:
-                            k = rows.get(part[i])
-                            if k is None:
-                                g = table.grams(part[i])
-                                k = rows[part[i]] = len(rows)
-                                sums[k], grams[k] = w[g].sum(axis=0), len(g)
-                            found[i] = k
-                total += sums[found].sum(axis=0, dtype=np.float64)
-                n += float(grams[found].sum(dtype=np.float64))
-            return total / max(n, 1.0)
+                    new = {x for _, part in segments for x in part}
+                if new:
+                    fresh = list(new)
+                    at = len(rows)
+                    sums[at : at + len(fresh)], grams[at : at + len(fresh)] = table.word_sums(fresh, w)
+                    rows.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+                for k, part in segments:
+                    found = list(map(rows.__getitem__, part))
+                    total[k] += sums[found].sum(axis=0, dtype=np.float64)
+                    n[k] += grams[found].sum(dtype=np.float64)
+                segments.clear()
+
+            for k, text in enumerate(texts):
+                words = _words(text)
+                for at in range(0, len(words), room // 4):
+                    part = words[at : at + room // 4]
+                    if held + len(part) > room // 2:
+                        flush()
+                        held = 0
+                    segments.append((k, part))
+                    held += len(part)
+            flush()
+            return total, np.maximum(n, 1.0)
 
         for batch in batches:
             lang, score, unsure = [], [], []
-            for t in batch.column(0).to_pylist():
-                if not t or not len(languages) or _LETTER.search(t) is None:
+            texts = batch.column(0).to_pylist()
+            told = [bool(t and len(languages) and _LETTER.search(t)) for t in texts]
+            total, n = totals([t if on else "" for t, on in zip(texts, told, strict=True)])
+            for k, on in enumerate(told):
+                if not on:
                     lang.append("und"), score.append(0.0), unsure.append(True)
                     continue
-                loss = (np.logaddexp(0, -codes * margins(t)) * bit_weight).sum(axis=1)
+                loss = (np.logaddexp(0, -codes * (total[k] / n[k])) * bit_weight).sum(axis=1)
                 share = np.exp(-8 * (loss - loss.min()))
                 share /= share.sum()
                 best = int(share.argmax())

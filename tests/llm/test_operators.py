@@ -323,3 +323,13 @@ def test_pipeline_keeps_clean_documents_and_packs_them(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == before
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(before)
+
+
+def test_word_sums_are_those_of_single_words():
+    table = ecoc_langid.NgramTable(12, 4)
+    w = np.random.default_rng(0).standard_normal((1 << 12, 3)).astype(np.float32)
+    words = ["a", "été", "wort", "x" * 50, "漢字"]
+    sums, count = table.word_sums(words, w)
+    for k, x in enumerate(words):
+        g = table.grams(x)
+        assert count[k] == len(g) and np.allclose(sums[k], w[g].sum(axis=0), atol=1e-4)
