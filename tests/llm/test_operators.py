@@ -313,7 +313,8 @@ def test_pipeline_keeps_clean_documents_and_packs_them(spark):
         assert kept <= before
         gone = before - kept
         if name == "toxicity":
-            assert sum(labels.get(d) == 1 for d in gone) >= 0.9 * len(gone) > 0 and len(gone) < 0.2 * len(before)
+            marked = [d for d in gone if d in labels]  # most documents have no label
+            assert sum(labels[d] == 1 for d in marked) >= 0.9 * len(marked) > 0 and len(gone) < 0.2 * len(before)
         if name == "language":
             assert len(gone) < 0.02 * len(before)
         if name == "near_duplicates":
