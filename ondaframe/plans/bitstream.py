@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions.tables import RATES
+from ..operators.checksums import crc16
 from ..sources.containers import scan_adts
 from ..sources.signals import table
 from .registry import plan
@@ -31,9 +32,22 @@ def _crc_sql(width: int, poly: int, start: int, bits: str = "null") -> str:
 
 @plan("s23_crc16", _crc_sql(16, 0x8005, 0xFFFF))
 def s23(spark, sf_dir):
+    """Over the first 32 bytes, as its SQL; s23_crc16_whole is the CRC of the text."""
     return head(spark, sf_dir).select("doc_id", B.crc(B.byte_array(F.col("b")), 16, 0x8005, 0xFFFF).cast("bigint").alias("crc"))
 
 
+@plan("s23_crc16_whole")
+def s23_whole(spark, sf_dir):
+    """Over all bytes of each text; no SQL folds texts of any length.  A null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc = [None if t is None else crc16(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64())], ["doc_id", "crc"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, "doc_id bigint, crc bigint")
+
+
 @plan("s24_crc10", _crc_sql(10, 0x001D, 0, "29"))
 def s24(spark, sf_dir):
     """Over the first 29 bits."""
