@@ -4,7 +4,7 @@ A shard is a bounded run of index vectors.  Each of its trees gives every
 vector a long bit string (signs of random projections, centred on the shard's
 mean) and keeps the strings sorted.  A query descends each tree to the longest
 prefix that it shares with any string; then all trees ascend together, a bit
-at a time, until the shared prefixes cover enough vectors.  What they cover is
+at a time, until the shared prefixes cover enough distinct vectors.  What they cover is
 ranked by exact distance.  Queries travel to the shards in blocks of bounded
 size; only each task's best k per query are shuffled.
 """
@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 class Settings:
     trees: int = 64
     bits: int = 48
-    #: Share of a shard that the prefixes of a query cover before ascent ends, counted over all trees, and the least number.
+    #: Share of a shard that the prefixes of a query cover before ascent ends, each vector counted once, and the least number.
     cover: float = 0.6
     least: int = 400
     shard: int = 16_384
@@ -55,11 +55,11 @@ class Forest:
             out[:, at : at + 4096] = (up.reshape(-1, s.trees, s.bits) * value).sum(axis=2, dtype=np.uint64).T
         return out
 
-    def candidates(self, queries: np.ndarray) -> Iterator[np.ndarray]:
-        """Row numbers of candidates of each query."""
+    def candidates(self, queries: np.ndarray, own: list[np.ndarray], k: int) -> Iterator[np.ndarray]:
+        """Row numbers of candidates of each query: more than k, if there are, besides its `own` rows, which are left out."""
         s, n = self.s, len(self.x)
         keys = self._keys(queries)
-        want = min(max(s.least, int(s.cover * n)), n * s.trees)
+        want = min(max(s.least, int(s.cover * n)), n)
         lo = np.zeros((s.bits + 1, s.trees, len(queries)), dtype=np.int32)
         hi = np.full_like(lo, n)
         for t in range(s.trees):
@@ -77,12 +77,16 @@ class Forest:
                     lo[depth + 1 :, t] = hi[depth + 1 :, t] = 0
                     break
         covered = (hi - lo).sum(axis=1, dtype=np.int64)  # by depth and query; falls with depth
-        depth = (covered >= want).sum(axis=0) - 1  # synchronous ascent ends at the deepest level that covers enough
+        depth = (covered >= want).sum(axis=0) - 1  # below, the trees together cannot cover enough distinct vectors
         for q in range(len(queries)):
-            d = max(0, int(depth[q]))
             seen = np.zeros(n, dtype=bool)
-            for a, b, order in zip(lo[d, :, q].tolist(), hi[d, :, q].tolist(), self.order, strict=True):
-                seen[order[a:b]] = True
+            for d in range(max(0, int(depth[q])), -1, -1):  # synchronous ascent; depth 0 is the whole shard
+                for a, b, order in zip(lo[d, :, q].tolist(), hi[d, :, q].tolist(), self.order, strict=True):
+                    seen[order[a:b]] = True
+                distinct = np.count_nonzero(seen)
+                if distinct >= want and distinct - np.count_nonzero(seen[own[q]]) > k:
+                    break
+            seen[own[q]] = False
             yield np.flatnonzero(seen)
 
 
@@ -136,10 +140,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, s: Settings = Se
                     if d != x.shape[1]:
                         continue
                     forest = Forest(x, s)
+                    by_id = np.argsort(vid, kind="stable")
+                    mine = vid[by_id]
                     for at in range(0, len(q), 512):
-                        for i, rows in enumerate(forest.candidates(q[at : at + 512])):
+                        some = qid[who[at : at + 512]]
+                        own = [by_id[a:b] for a, b in zip(np.searchsorted(mine, some), np.searchsorted(mine, some, side="right"), strict=True)]
+                        for i, rows in enumerate(forest.candidates(q[at : at + 512], own, k)):
                             j = int(who[at + i])
-                            rows = rows[vid[rows] != qid[j]]
                             near = _best(vid[rows], np.sqrt(((x[rows] - q[at + i]) ** 2).sum(axis=1)), k)
                             if j in best:
                                 near = _best(np.concatenate([best[j][0], near[0]]), np.concatenate([best[j][1], near[1]]), k)

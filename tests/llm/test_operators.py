@@ -204,6 +204,23 @@ def test_forest_of_odd_vectors(spark):
     assert sorted(again) == sorted(got)
 
 
+def test_forest_of_equal_vectors(spark):
+    x = np.random.default_rng(5).standard_normal((500, 64))
+    for at, copies in ((0, 7), (100, 8), (200, 9), (300, 10), (400, 12)):
+        x[at : at + copies] = x[at]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id bigint, v array<double>").coalesce(1)
+    got, hits = {}, []
+    for r in lsh_forest.search(df, df.where(F.pmod("id", F.lit(100)) == 0), 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, copies in ((0, 7), (100, 8), (200, 9), (300, 10), (400, 12)):
+        found = [v for _, v in sorted(got[q])]
+        assert len(found) == 10 and found[: copies - 1] == list(range(q + 1, q + copies))[:10]
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits.append(len(set(found) & set(np.lexsort((np.arange(500), d))[:10].tolist())) / 10)
+    assert np.mean(hits) >= 0.9
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.y for r in spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("y")).collect()}
