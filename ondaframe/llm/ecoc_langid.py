@@ -29,9 +29,9 @@ class Settings:
     longest: int = 4
     epochs: int = 5
     rate: float = 0.5
-    #: Most rows that training reads for a language, smallest hash of doc_id first; most languages.
+    #: Most rows that training reads for a language, smallest hash of doc_id first, and for all of them together (a row each at least).
     max_rows: int = 600
-    max_languages: int = 64
+    max_sample: int = 38_400
     #: Shortest distance between the two nearest codewords' scores that counts as certain.
     margin: float = 0.1
 
@@ -40,12 +40,17 @@ def codewords(languages: int) -> np.ndarray:
     """+-1 codewords, a row per language.
 
     Up to 6 languages: all distinct splits (each column a nontrivial split of
-    the languages); beyond: rows of a Sylvester-Hadamard matrix without the
-    constant column, any two of which differ in half of the bits.
+    the languages); up to 256: rows of a Sylvester-Hadamard matrix without the
+    constant column, any two of which differ in half of the bits; beyond:
+    distinct rows of 256 drawn bits, so that weights stay of one size.
     """
     if languages <= 6:
         cols = [[1] + [1 if m >> k & 1 else -1 for k in range(languages - 1)] for m in range((1 << (languages - 1)) - 1)]
         return np.array(cols or [[1]], dtype=np.int8).T
+    if languages > 256:
+        drawn = np.random.default_rng(9).integers(0, 2, (languages, 256), dtype=np.int8) * 2 - 1
+        assert len(np.unique(drawn, axis=0)) == languages
+        return drawn
     h = np.ones((1, 1), dtype=np.int8)
     while len(h) < languages:
         h = np.block([[h, h], [h, -h]])
@@ -130,24 +135,24 @@ class Model:
 
 
 def fit(docs: DataFrame, learnable: Column, s: Settings = Settings()) -> Model:
-    """Fit on a bounded sample: up to max_rows learnable rows of each language.
+    """Fit on a bounded sample: up to max_rows learnable rows of each language, fewer where max_sample is shared by many.
 
-    Rows with a null doc_id, lang or text are not learnt from.  The driver gets
-    the max_languages commonest languages and the nonzero weights.
+    Every language has a codeword.  Rows with a null doc_id, lang or text are
+    not learnt from.  The driver gets the languages and the nonzero weights.
     """
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     # a row per language
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.max_languages).collect()
-    languages = tuple(sorted(r["lang"] for r in common))
+    size = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = tuple(sorted(size))
     codes = codewords(max(1, len(languages)))
-    size = {r["lang"]: r["n"] for r in common}
     if not languages:
         return Model((), codes, np.zeros(0, np.int32), np.zeros((0, codes.shape[1]), np.float32), np.ones(codes.shape[1]))
+    most = max(1, min(s.max_rows, s.max_sample // len(languages)))
     # thin by hash to about twice what is needed before ranking, so that no language's rows meet in one task
-    share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(max(1, int(size[lang] // (2 * s.max_rows)))))])[F.col("lang")]
+    shares = docs.sparkSession.createDataFrame([(lang, max(1, n // (2 * most))) for lang, n in size.items()], "lang string, share bigint")
     h = F.xxhash64("doc_id")
-    few = known.where(F.col("lang").isin(*languages) & (F.pmod(h, share) == 0)).select("doc_id", "lang", h.alias("h"))
-    ranked = few.withColumn("r", F.row_number().over(_by_lang())).where(F.col("r") <= s.max_rows).drop("r")
+    few = known.join(F.broadcast(shares), "lang").where(F.pmod(h, F.col("share")) == 0).select("doc_id", "lang", h.alias("h"))
+    ranked = few.withColumn("r", F.row_number().over(_by_lang())).where(F.col("r") <= most).drop("r")
     sample = stage_out(docs.select("doc_id", "text", "lang").join(F.broadcast(ranked), ["doc_id", "lang"]), "lang-sample")
     number = {lang: k for k, lang in enumerate(languages)}
 
@@ -155,11 +160,11 @@ def fit(docs: DataFrame, learnable: Column, s: Settings = Settings()) -> Model:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         w, accuracy = train([r[0] for r in rows], np.array([number[r[1]] for r in rows], dtype=int), codes, s)
         used = np.flatnonzero(np.abs(w).max(axis=1) > 1e-3)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([accuracy.tolist(), *w[used].tolist()], pa.list_(pa.float32()))], ["i", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 2) * w.shape[1], pa.int32()), pa.array(np.concatenate([accuracy[None].astype(np.float32), w[used]]).ravel()))], ["i", "w"])
 
     # the bounded sample in one task
     got = sample.repartition(1).sortWithinPartitions("h", "doc_id", "lang").select("text", "lang").mapInArrow(learn, "i int, w array<float>").toArrow()
-    idx, w = got.column("i").to_numpy(), np.array(got.column("w").to_pylist(), dtype=np.float32)
+    idx, w = got.column("i").to_numpy(), got.column("w").combine_chunks().flatten().to_numpy().reshape(-1, codes.shape[1])
     return Model(languages, codes, idx[idx >= 0], w[idx >= 0], w[idx < 0][0])
 
 
@@ -186,7 +191,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], s: Settings = Settin
         table = NgramTable(s.bits, s.longest)
         w = np.zeros((1 << s.bits, codes.shape[1]), dtype=np.float32)
         w[model.buckets] = model.weights
-        room = 1 << 18
+        room = min(1 << 18, (1 << 24) // codes.shape[1])  # sums of 64 MB at most
         sums, grams, rows = np.zeros((room, codes.shape[1]), dtype=np.float32), np.zeros(room, dtype=np.float32), {}
 
         def totals(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -260,6 +260,22 @@ def test_language_of_odd_rows(spark, odd):
     assert {r.lang_pred for r in ecoc_langid.predict(odd.where("doc_id = 3"), one, ["doc_id"]).collect()} == {"en"}
 
 
+def test_every_language_is_learnt(spark):
+    rnd = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    docs = []
+    for k in range(70):
+        words = ["".join(rnd.choice(letters, rnd.integers(4, 9))) for _ in range(30)]
+        docs += [(k * 100 + i, f"l{k:02}", " ".join(rnd.choice(words, 40))) for i in range(13 - (k > 60))]
+    df = spark.createDataFrame(docs, "doc_id bigint, lang string, text string")
+    model = ecoc_langid.fit(df, F.col("doc_id") % 100 > 1)
+    assert len(model.languages) == len(model.codes) == 70
+    rows = ecoc_langid.predict(df.where(F.col("doc_id") % 100 <= 1), model, ["doc_id", "lang"]).collect()
+    assert len(rows) == 140 and sum(r.lang == r.lang_pred for r in rows) >= 138
+    many = ecoc_langid.codewords(300).astype(int)
+    assert many.shape == (300, 256) and ((many[:, None] != many).sum(axis=2) + 256 * np.eye(300, dtype=int)).min() > 80
+
+
 def test_codewords_stay_apart():
     for n in range(2, 20):
         c = ecoc_langid.codewords(n).astype(int)
