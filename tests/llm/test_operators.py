@@ -359,6 +359,22 @@ def test_pipeline_keeps_clean_documents_and_packs_them(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(before)
 
 
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    rnd = np.random.default_rng(6)
+    a, b, c, d, e, f = (" ".join(f"w{i}" for i in rnd.integers(0, 3000, 200)) for _ in range(6))
+    near = a + " more"
+    docs = [(7, a), (3, near), (3, near), (3, near), (None, near), (None, b), (None, b), (5, c), (None, c + " more"), (None, d), (None, d + " more"), (9, e), (9, f), (None, None), (4, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    alike = [x for x in got if x[1] in (d, d + " more")]
+    assert len(alike) == 1 and alike[0][0] is None
+    assert sorted((x for x in got if x not in alike), key=str) == sorted([(3, near), (None, b), (5, c), (9, e), (9, f), (4, "")], key=str)
+
+
 def test_word_sums_are_those_of_single_words():
     table = ecoc_langid.NgramTable(12, 4)
     w = np.random.default_rng(0).standard_normal((1 << 12, 3)).astype(np.float32)
