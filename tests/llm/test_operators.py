@@ -359,6 +359,17 @@ def test_pipeline_keeps_clean_documents_and_packs_them(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(before)
 
 
+def test_pipeline_keeps_documents_of_close_languages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    words = {x: " ".join(r.text for r in docs.where((F.col("lang") == x) & F.col("text").isNotNull()).orderBy("doc_id").limit(20).collect()).split() for x in ("de", "en", "es", "fr")}
+    mixed = [(1_000_000 + k, " ".join([*words[a][k * 9 : k * 9 + 9], *words[b][k * 9 : k * 9 + 9]]), None) for a, b in (("en", "fr"), ("de", "es")) for k in range(100)]
+    both = docs.unionByName(spark.createDataFrame([(d + 1000 * (k >= 100), t, x) for k, (d, t, x) in enumerate(mixed)], "doc_id bigint, text string, lang string"))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, both, SF).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in both.collect() if r.text and any(c.isalpha() for c in r.text)}
+
+
 def test_pipeline_keeps_one_row_of_each_class(spark):
     import corpus_pipeline
 
