@@ -5,11 +5,12 @@ crosses certain blanks.  A text can therefore be cut at those blanks, each
 distinct chunk encoded once by the tokenizers library, and the ids joined:
 
 * byte-level BPE: cut before each single space that a non-blank character
-  follows; the space always opens the next pre-token.
+  follows (the space always opens the next pre-token), and before a line end
+  between two non-blank characters (no match holds a blank after a non-blank).
 * word BPE (blanks dropped, lower-cased, NFC): cut at every run of blanks.
 
-Texts that hold an added token's string, or characters on whose blankness
-Python and the library differ, are encoded whole.
+Texts that hold an added token's string, or for word BPE characters on whose
+blankness Python and the library differ, are encoded whole.
 """
 
 from __future__ import annotations
@@ -20,53 +21,52 @@ import re
 
 import numpy as np
 
-#: A space before another blank or at the end: it stays with its predecessor.
-_LOOSE_SPACE = re.compile(r" (?=\s|$)")
+#: Where byte-level BPE may be cut; the space goes, a line end stays with what follows.  What Python takes for blank is blank for the library, but for \x1c to \x1f: then a cut is merely left out.
+_CUT = re.compile(r" (?=\S)|(?<=\S)(?=\n\S)")
+#: Blanks other than space and line end.
+_OTHER_BLANK = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Blank for Python, not for the library's patterns.
 _ODD_BLANK = re.compile("[\x1c-\x1f]")
+#: Marks the first part of a text; no other part has a blank after a line end.
+_FIRST = "\n "
 #: Longer chunks are encoded but not kept.
 _KEPT_CHARS = 64
 
 
 def byte_parts(text: str) -> list[str]:
-    """Parts of a text for byte-level BPE: " ".join(parts) is the text, each part but the first encodes with its space."""
-    parts = text.split(" ")
-    if _LOOSE_SPACE.search(text) is None and not _ODD_BLANK.search(text):
-        return parts
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out
+    """Parts of a text for byte-level BPE, each of which encodes by itself as piece(part)."""
+    parts = None
+    if _OTHER_BLANK.search(text) is None:
+        parts = text.replace("\n", " \n").split(" ")
+        if "" in parts or "\n" in parts:  # a blank beside another, or at an end
+            parts = None
+    parts = parts or _CUT.split(text)
+    parts[0] = _FIRST + parts[0]
+    return parts
+
+
+def piece(part: str) -> str:
+    """The piece of text that a part stands for: a space goes before it, but for line ends and for a text's first part, which is marked by a line end and a space."""
+    return " " + part if part[0] != "\n" else part[2:] if part[:2] == _FIRST else part
 
 
 class PartCache:
     """Ids by part of a text.  Subclasses encode the parts that are new.
 
-    room: most parts kept; beyond it the cache starts anew, so that a worker's
-    memory is bounded (about 200 bytes a part).
+    room: parts that a generation keeps.  When it is full it becomes the older
+    generation, from which parts that occur again are taken over; what was older
+    goes.  A worker holds 2 * room parts at most, of about 200 bytes each, and
+    the frequent ones stay.
     """
 
     def __init__(self, room: int):
         self.room = room
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode_new(self, parts: list[str]) -> list[bytes]:
+    def encode_new(self, parts: list[str]) -> dict[str, bytes]:
         raise NotImplementedError
 
-    def _fresh(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of new parts.  A full stop or comma after a letter is a pre-token of its own: without it fewer parts are new."""
-        marks = [p[-1] if len(p) > 1 and p[-1] in ".," and p[-2].isalpha() and p[-2] < "\u0250" else "" for p in parts]
-        stems = [p[:-1] if m else p for p, m in zip(parts, marks, strict=True)]
-        cache = self.cache
-        new = list({s for s in stems if s not in cache})
-        made = dict(zip(new, self.encode_new(new), strict=True))
-        cache.update((s, x) for s, x in made.items() if len(s) <= _KEPT_CHARS)
-        tail = {m: self.encode_mark(m) if m else b"" for m in set(marks)}
-        return {p: (made[s] if s in made else cache[s]) + tail[m] for p, s, m in zip(parts, stems, marks, strict=True)}
-
     def encode_mark(self, mark: str) -> bytes:
         """Ids of a mark that no blank precedes."""
         raise NotImplementedError
@@ -74,25 +74,30 @@ class PartCache:
     def assemble(self, cut: list[list[str]]) -> list[bytes]:
         """Joined ids of each list of parts."""
         if len(self.cache) > self.room:
-            self.cache.clear()
-        cache = self.cache
-        found = [list(map(cache.get, parts)) for parts in cut]
-        new: dict[str, bytes | None] = {}
-        gaps = []
-        for k, (parts, ids) in enumerate(zip(cut, found, strict=True)):
-            if None in ids:
-                holes = [i for i, x in enumerate(ids) if x is None]
-                gaps.append((k, holes))
-                for i in holes:
-                    new[parts[i]] = None
-        if new:
-            fresh = self._fresh(list(new))
-            for k, holes in gaps:
-                parts, ids = cut[k], found[k]
-                for i in holes:
-                    ids[i] = fresh[parts[i]]
-            cache.update((p, x) for p, x in fresh.items() if len(p) <= _KEPT_CHARS)
-        return [b"".join(ids) for ids in found]
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        new = list(set().union(*cut).difference(cache))
+        if older:
+            again = list(map(older.get, new))
+            cache.update((p, x) for p, x in zip(new, again, strict=True) if x is not None)
+            new = [p for p, x in zip(new, again, strict=True) if x is None]
+        # a full stop or comma after a letter is a pre-token of its own: without it fewer parts are new
+        marked = [p for p in new if p[-1] in ".," and p[-2:-1].isalpha() and p[-2:-1] < "\u0250"]
+        if marked:
+            stems = [p[:-1] for p in marked]
+            bare = set(new).difference(marked)
+            bare.update(s for s in stems if s not in cache)
+            new = list(bare)
+        cache.update(self.encode_new(new))
+        if marked:
+            tail = {m: self.encode_mark(m) for m in ".,"}
+            cache.update((p, cache[s] + tail[p[-1]]) for p, s in zip(marked, stems, strict=True))
+            new += marked
+        out = [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        for p in new:
+            if len(p) > _KEPT_CHARS:
+                del cache[p]
+        return out
 
 
 class ChunkEncoder(PartCache):
@@ -102,7 +107,7 @@ class ChunkEncoder(PartCache):
     width: bytes per little-endian unsigned id, 2 or 4.
     """
 
-    def __init__(self, path: str, kind: str, width: int = 4, room: int = 1_000_000):
+    def __init__(self, path: str, kind: str, width: int = 4, room: int = 150_000):
         super().__init__(room)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -113,18 +118,39 @@ class ChunkEncoder(PartCache):
         with open(path, encoding="utf-8") as f:
             self.added = [t["content"] for t in json.load(f)["added_tokens"]]
         self.kind, self.dtype = kind, f"<u{width}"
+        #: Tokens that begin with a space or a line end, as byte-level vocabularies write them.
+        self.opens = np.zeros(max(self.lib.get_vocab().values()) + 1, dtype=bool)
+        self.opens[[i for t, i in self.lib.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
+
+    def encode_new(self, parts: list[str]) -> dict[str, bytes]:
+        """One call of the library for a thousand parts."""
+        if self.kind == "word":
+            return dict(zip(parts, self._by_word(parts), strict=True))
+        firsts = [p for p in parts if p[:2] == _FIRST]
+        rest = list(set(parts).difference(firsts)) if firsts else parts
+        out = dict(zip(firsts, self._by_word([p[2:] for p in firsts]), strict=True))
+        rows = [rest[i : i + 1000] for i in range(0, len(rest), 1000)]
+        pieces = [list(map(piece, row)) for row in rows]
+        for row, own, e in zip(rows, pieces, self.lib.encode_batch_fast(["".join(own) for own in pieces], add_special_tokens=False), strict=True):
+            out.update(zip(row, self._by_blank(np.asarray(e.ids, dtype=self.dtype), len(row)) or self._by_word(own), strict=True))
+        return out
 
-    def encode_new(self, parts: list[str]) -> list[bytes]:
-        """One call of the library for a thousand parts, as if pre-split: no token crosses their borders."""
-        if self.kind == "byte":
-            parts = [" " + p for p in parts]
+    def _by_blank(self, ids: np.ndarray, parts: int) -> list[bytes] | None:
+        """Ids of parts that were encoded as one text, if only the first byte of each is a space or line end: there a token begins."""
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != parts:
+            return None
+        data, ends = ids.tobytes(), [*(at * self.size).tolist(), len(ids) * self.size]
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _by_word(self, parts: list[str]) -> list[bytes]:
+        """As if pre-split: no token crosses the parts' borders."""
+        out, w = [], self.size
         rows = [parts[i : i + 1000] for i in range(0, len(parts), 1000)]
-        out: list[bytes] = []
         for row, e in zip(rows, self.lib.encode_batch(rows, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, dtype=self.dtype).tobytes()
-            w = self.size
-            ends = np.searchsorted(np.asarray(e.word_ids, dtype=np.int64), np.arange(len(row) + 1)).tolist()
-            out += [ids[a * w : b * w] for a, b in zip(ends, ends[1:])]
+            data = np.asarray(e.ids, dtype=self.dtype).tobytes()
+            ends = (np.searchsorted(np.asarray(e.word_ids, dtype=np.int64), np.arange(len(row) + 1)) * w).tolist()
+            out += [data[a:b] for a, b in zip(ends, ends[1:])]
         return out
 
     def encode_mark(self, mark: str) -> bytes:
@@ -145,15 +171,9 @@ class ChunkEncoder(PartCache):
         texts = [t or "" for t in texts]
         plain = [i for i, t in enumerate(texts) if t and self._is_plain(t)]
         out = [b""] * len(texts)
-        if self.kind == "byte":
-            cut = [byte_parts(texts[i]) for i in plain]
-            heads = self.whole([p[0] for p in cut])
-            tails = self.assemble([p[1:] for p in cut])
-            for i, head, tail in zip(plain, heads, tails, strict=True):
-                out[i] = head + tail
-        else:
-            for i, ids in zip(plain, self.assemble([texts[i].split() for i in plain]), strict=True):
-                out[i] = ids
+        cut = [byte_parts(texts[i]) if self.kind == "byte" else texts[i].split() for i in plain]
+        for i, ids in zip(plain, self.assemble(cut), strict=True):
+            out[i] = ids
         odd = sorted({i for i, t in enumerate(texts) if t} - {*plain})
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
@@ -163,9 +183,9 @@ class ChunkEncoder(PartCache):
 _loaded: dict[tuple, ChunkEncoder] = {}
 
 
-def loaded(path: str, kind: str, width: int = 4) -> ChunkEncoder:
+def loaded(path: str, kind: str, width: int = 4, room: int = 150_000) -> ChunkEncoder:
     """The encoder of this worker process: its parts serve all tasks that the process runs."""
-    key = (path, kind, width)
+    key = (path, kind, width, room)
     if key not in _loaded:
-        _loaded[key] = ChunkEncoder(path, kind, width)
+        _loaded[key] = ChunkEncoder(path, kind, width, room)
     return _loaded[key]

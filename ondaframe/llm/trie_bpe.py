@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .chunked import _KEPT_CHARS, PartCache, byte_parts
+from .chunked import _KEPT_CHARS, PartCache, byte_parts, piece
 
 #: The byte-level pre-tokenizer's pattern (fixed value), blanks by the Unicode White_Space property.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,7 +39,7 @@ def _byte_letters() -> dict[str, int]:
 class TrieBPE(PartCache):
     """Encoder and decoder over a tokenizers JSON file with a byte-level BPE model."""
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 200_000):
         super().__init__(room)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -127,7 +127,7 @@ class TrieBPE(PartCache):
         key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             known = self.fits[key] = self._apart(left, right)
         return known
@@ -180,8 +180,8 @@ class TrieBPE(PartCache):
                     todo.append((kid, depth, b))
         return out
 
-    def encode_new(self, parts: list[str]) -> list[bytes]:
-        return self.encode_plain([" " + p for p in parts])
+    def encode_new(self, parts: list[str]) -> dict[str, bytes]:
+        return dict(zip(parts, self.encode_plain([piece(p) for p in parts]), strict=True))
 
     def encode_mark(self, mark: str) -> bytes:
         return self.encode_plain([mark])[0]
@@ -203,7 +203,6 @@ class TrieBPE(PartCache):
         cut: list[list[str]] = []
         out: list[list[bytes]] = []
         owner: list[tuple[int, int]] = []
-        heads: list[str] = []
         for k, t in enumerate(texts):
             pieces = [t or ""]
             if self.added and any(a in pieces[0] for a in self.added):
@@ -214,13 +213,11 @@ class TrieBPE(PartCache):
                 if p in self.added:
                     got[-1] = np.asarray([self.added[p]], dtype="<u4").tobytes()
                 elif p:
-                    head, *rest = byte_parts(p)
                     owner.append((k, len(got) - 1))
-                    heads.append(head)
-                    cut.append(rest)
+                    cut.append(byte_parts(p))
             out.append(got)
-        for (k, i), head, tail in zip(owner, self.encode_plain(heads), self.assemble(cut), strict=True):
-            out[k][i] = head + tail
+        for (k, i), ids in zip(owner, self.assemble(cut), strict=True):
+            out[k][i] = ids
         return [b"".join(x) for x in out]
 
     def decode(self, ids: bytes) -> str:

@@ -8,7 +8,9 @@ from the data bytes.  Decoding looks a whole control column up in a table of
 
 Block layout, little-endian: magic "FVB1", uint32 number of ids, the control
 bytes, the data bytes.  A file is a Parquet table of blocks, in ascending
-doc_id order by (part, block); `docs` and `counts` say whose ids they hold.
+doc_id order by (part, block); `docs` and `counts` say whose ids they hold.  A
+second table beside them has the id of each rank, so that the files can be read
+without anything else.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .chunked import loaded
 from .common import stage_out
@@ -59,53 +62,55 @@ def decode_block(block: bytes) -> np.ndarray:
     return out
 
 
-def tokenize(docs: DataFrame, path: str, kind: str, end_id: int, rows: int = 256) -> DataFrame:
-    """doc_id, ids (16-bit little-endian, end_id appended).  Narrow."""
+def tokenize(docs: DataFrame, path: str, kind: str, end_id: int, rows: int = 256, vocabulary: int = 1 << 16) -> DataFrame:
+    """doc_id, ids (16-bit little-endian, end_id appended), and one row a task that has only `seen` and `n`: how often it met each id.  Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(path, kind, width=2)
+        encoder = loaded(path, kind, width=2, room=400_000)
         end = int(end_id).to_bytes(2, "little")
+        total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = pa.array([x + end for x in encoder.encode(part.column(1).to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+                got = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(got), "<u2"), minlength=vocabulary)
+                none = pa.nulls(len(got), pa.list_(pa.int32())), pa.nulls(len(got), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), *none], names)
+        seen = np.flatnonzero(total)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.binary()), pa.array([seen], pa.list_(pa.int32())), pa.array([total[seen]], pa.list_(pa.int64()))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    names = ["doc_id", "ids", "seen", "n"]
+    key = to_arrow_type(docs.schema["doc_id"].dataType)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, seen array<int>, n array<bigint>")
 
 
-def id_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """Rank of each id by its count over all documents, ties to the smaller id.
+def id_ranks(tokens: DataFrame, vocabulary: int) -> DataFrame:
+    """id, rank, written beside the files: rank of each id that occurs by its count over all documents, ties to the smaller id.
 
-    One row per id and task is shuffled; the driver gets at most `vocabulary` rows.
+    The tasks' counts (a row each) are summed by id; at most `vocabulary` rows are ranked.
     """
+    pairs = tokens.where(F.col("seen").isNotNull()).select(F.explode(F.arrays_zip("seen", "n")).alias("p"))
+    counts = pairs.groupBy(F.col("p.seen").alias("id")).agg(F.sum("p.n").alias("n"))
+    return stage_out(counts.select("id", (F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank")), "id-ranks")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=vocabulary) if len(ids.as_buffer()) > 1 << 17 else 0
-            small = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= 1 << 17)
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=vocabulary)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(vocabulary, dtype=np.int64)
-    for r in counts:
-        n[r["id"]] = r["n"]
-    rank = np.empty(vocabulary, dtype=np.uint32)
-    rank[np.lexsort((np.arange(vocabulary), -n))] = np.arange(vocabulary, dtype=np.uint32)
+
+def _by_id(ranks: DataFrame, vocabulary: int) -> np.ndarray:
+    """Rank of each id, from the written table of at most `vocabulary` rows."""
+    got = ranks.toArrow()
+    rank = np.zeros(vocabulary, dtype=np.uint32)
+    rank[got.column("id").to_numpy()] = got.column("rank").to_numpy()
     return rank
 
 
-def write_blocks(tokens: DataFrame, rank: np.ndarray, block_ids: int = 1 << 18) -> DataFrame:
+def write_blocks(tokens: DataFrame, ranks: DataFrame, vocabulary: int, block_ids: int = 1 << 18) -> DataFrame:
     """Write id files in ascending doc_id order; returns them reread.
 
     Documents are range-partitioned by doc_id, sorted within partitions (equal
     doc_ids by their ids), and coded in blocks of about block_ids ids.
     """
     key = tokens.schema["doc_id"].dataType.simpleString()
+    rank = _by_id(ranks, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
@@ -134,15 +139,14 @@ def write_blocks(tokens: DataFrame, rank: np.ndarray, block_ids: int = 1 << 18)
         if held:
             yield flush()
 
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key]
-    ordered = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    doc_type = to_arrow_type(tokens.schema["doc_id"].dataType)
+    ordered = tokens.where(F.col("seen").isNull()).select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     return stage_out(ordered.mapInArrow(run, f"part int, block int, start bigint, docs array<{key}>, counts array<int>, payload binary"), "id-files")
 
 
-def read_blocks(files: DataFrame, rank: np.ndarray) -> DataFrame:
-    """Documents from id files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    of_rank = np.empty(len(rank), dtype="<u4")
-    of_rank[rank] = np.arange(len(rank), dtype="<u4")
+def read_blocks(files: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Documents from id files and their table of ranks: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    of_rank = ranks.orderBy("rank").toArrow().column("id").to_numpy().astype("<u4")
     totals = files.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
     # one row per partition of the write
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
@@ -168,6 +172,6 @@ def corpus_ids(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 2,
     in the order of their ids; a null doc_id comes first.  An empty table gives
     no rows.  Other columns are not read.
     """
-    tokens = stage_out(tokenize(docs, path, kind, end_id), "ids")
-    rank = id_ranks(tokens, vocabulary)
-    return read_blocks(write_blocks(tokens, rank), rank)
+    tokens = stage_out(tokenize(docs, path, kind, end_id, vocabulary=vocabulary), "ids")
+    ranks = id_ranks(tokens, vocabulary)
+    return read_blocks(write_blocks(tokens, ranks, vocabulary), ranks)

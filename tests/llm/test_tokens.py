@@ -55,6 +55,40 @@ def test_trie_on_whole_documents(spark):
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_trie_on_odd_rows(spark):
+    rows = [(1, None, 5), (2, "", 6), (2, "", 6), (3, "x" * 200_000, 7), (None, "a\n\nb\nc", 8), (4, "one two", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int")
+    lib = Tokenizer.from_file(BYTE)
+    want = sorted((d or 0, len(t), hashlib.sha256(np.asarray(t, "<u4").tobytes()).hexdigest()) for d, t in ((d, lib.encode(x or "", add_special_tokens=False).ids) for d, x, _ in rows))
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256) for r in trie_bpe.encode_documents(docs, BYTE).collect()) == want
+    plain = {r.doc_id: r.decoded for r in trie_bpe.encode_documents(docs, BYTE, digests=False).collect()}
+    assert plain[None] == "a\n\nb\nc" and plain[1] == ""
+    assert trie_bpe.encode_documents(docs.limit(0), BYTE).count() == 0
+
+
+def test_best_fit_is_by_dot_product():
+    limits = vector_packing.Limits(100, 8, 40)
+    packer, rnd = vector_packing.Packer(limits, window=40, cut=False), random.Random(4)
+    waiting = [(k, n, rnd.randint(0, min(n, 40))) for k, n in enumerate(rnd.sample(range(1, 61), 39))]
+    bins, plain = [], []
+    for k, n, loss in waiting:
+        bins += packer.add(k, n, loss)
+    bins += packer.end()
+    while waiting:  # the same, one comparison at a time
+        free, out = [100, 8, 40], []
+        while True:
+            fits = [x for x in waiting if x[1] <= free[0] and 1 <= free[1] and x[2] <= free[2]]
+            if not fits:
+                break
+            score = lambda x: x[1] * free[0] / 100**2 + free[1] / 8**2 + x[2] * free[2] / 40**2
+            best = max(fits, key=score)
+            waiting.remove(best)
+            out.append((best[0], round(score(best), 9)))
+            free = [free[0] - best[1], free[1] - 1, free[2] - best[2]]
+        plain.append(out)
+    assert [[x[0] for x in b] for b in bins] == [[k for k, _ in b] for b in plain]
+
+
 def test_block_round_trip():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
