@@ -60,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Weighted shingles of texts: lower-cased, words between blanks."""
 
-    def __init__(self, words: int, room: int = 1 << 20):
+    def __init__(self, words: int, room: int = 1 << 18):
         self.n = words
         self.rows: dict[str, int] = {}
         self.table = np.zeros(room, dtype=np.uint64)
@@ -202,7 +202,7 @@ def verify(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     least = s.similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(s.words, 1 << 19)
+        shingler = Shingler(s.words)
         hub, profile = None, None
         for batch in batches:
             out = []
@@ -300,7 +300,7 @@ def _judge_apart(docs: DataFrame, members: DataFrame, sigs: DataFrame, s: Settin
     least, limit = s.similarity - s.slack, s.similarity - 1e-12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(s.words, 1 << 19)
+        shingler = Shingler(s.words)
         now, ids, labels, sig, texts = None, [], [], [], []
         sig_a, profiles, linked = None, {}, set()
         for batch in batches:
