@@ -9,7 +9,6 @@ nearest codewords lie close together are flagged as ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,10 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_out
-
-_LETTER = re.compile(r"[^\W\d_]")
-
+from .common import scored_schema, stage_out
 
 @dataclass(frozen=True)
 class Settings:
@@ -159,7 +155,7 @@ def fit(docs: DataFrame, learnable: Column, s: Settings = Settings()) -> Model:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         w, accuracy = train([r[0] for r in rows], np.array([number[r[1]] for r in rows], dtype=int), codes, s)
-        used = np.flatnonzero(np.abs(w).max(axis=1) > 1e-3)
+        used = np.flatnonzero(w.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 2) * w.shape[1], pa.int32()), pa.array(np.concatenate([accuracy[None].astype(np.float32), w[used]]).ravel()))], ["i", "w"])
 
     # the bounded sample in one task
@@ -178,11 +174,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], s: Settings = Settin
     """Columns `keep` with lang_pred, score (0 to 1) and ambiguous.
 
     score is the share of the nearest codeword among all, by exp(-loss).
-    Whole texts, narrow.  Null texts, texts without a letter, and all texts
-    where nothing could be learnt give `und`, 0.0, true.
+    keep must not hold those three names (ValueError).  Whole texts, narrow.
+    Null texts, texts without a letter (str.isalpha), and all texts where nothing could be learnt give `und`, 0.0, true.
     """
-    fields = docs.select(*keep).schema.fields
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, ambiguous boolean"
+    out = scored_schema(docs, keep, "lang_pred string, score double, ambiguous boolean")
     languages, codes = np.array(model.languages, dtype=object), model.codes.astype(float)
     bit_weight = np.maximum(model.accuracy - 0.5, 1e-3)
     bit_weight = bit_weight / bit_weight.sum()
@@ -231,7 +226,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], s: Settings = Settin
         for batch in batches:
             lang, score, unsure = [], [], []
             texts = batch.column(0).to_pylist()
-            told = [bool(t and len(languages) and _LETTER.search(t)) for t in texts]
+            told = [bool(t and len(languages) and any(map(str.isalpha, t))) for t in texts]
             total, n = totals([t if on else "" for t, on in zip(texts, told, strict=True)])
             for k, on in enumerate(told):
                 if not on:

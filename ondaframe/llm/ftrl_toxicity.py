@@ -6,7 +6,7 @@ letters, which stand for inflected forms), its word pairs, and its skip-grams
 lower-cased and lose everything but letters and digits.  Training
 keeps two sums per bucket; each bucket has a learning rate of its own, and the
 L1 bound leaves most weights at exactly zero, so the model is a short list of
-(bucket, weight) that travels in the task closure.
+(bucket, weight), of 2**bits entries at most, that travels in the task closure.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_out
+from .common import scored_schema, stage_out
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -38,8 +38,6 @@ class Settings:
     toxic_weight: float = 3.0
     #: Most labelled rows that training reads, smallest hash of doc_id first.
     max_rows: int = 12_000
-    #: Most weights that the model keeps, largest first.
-    max_weights: int = 200_000
 
 
 class WordHasher:
@@ -51,7 +49,7 @@ class WordHasher:
 
     STEMS = (5, 4)
 
-    def __init__(self, room: int = 1 << 20):
+    def __init__(self, room: int = 1 << 18):
         self.rows: dict[str, int] = {}
         self.table = np.zeros((room, 1 + len(self.STEMS)), dtype=np.uint32)
 
@@ -114,9 +112,6 @@ def train(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[float, np.nd
             bias -= s.alpha * g / (s.beta + np.sqrt(seen))
     keep = np.flatnonzero(np.abs(z) > s.l1)
     w = (np.sign(z[keep]) * s.l1 - z[keep]) / ((s.beta + np.sqrt(n[keep])) / s.alpha + s.l2)
-    if len(keep) > s.max_weights:
-        best = np.sort(np.lexsort((keep, -np.abs(w)))[: s.max_weights])
-        keep, w = keep[best], w[best]
     return float(bias), keep.astype(np.int32), w
 
 
@@ -126,11 +121,16 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, s: Settings = Set
     labels: doc_id, toxic (rows with a null in either are left out; the larger
     label of repeated rows counts).  learnable: which rows of labels may be
     learnt from.  The sample is the max_rows label rows of smallest
-    (xxhash64(doc_id), doc_id); it is picked before any text is read.  No
-    usable row gives a model without weights.
+    (xxhash64(doc_id), doc_id), thinned by that hash to about twice as many before
+    they are ordered; it is picked before any text is read.  No usable row gives
+    a model without weights.
     """
     known = labels.where(learnable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    sample = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(s.max_rows)
+    h = F.xxhash64("doc_id")
+    # the smallest hashes, of the whole range that there is, so that the order is over few rows
+    share = min(1.0, 2 * s.max_rows / max(1, known.count()))
+    few = known.withColumn("h", h).where(F.col("h") <= int(-(2**63) + share * (2**64 - 1025)))
+    sample = few.orderBy("h", "doc_id").limit(s.max_rows)
     # at most max_rows short rows
     text = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     bits = s.bits
@@ -159,13 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, s: Settings = Set
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], keep: list[str], s: Settings = Settings(), threshold: float = 0.7) -> DataFrame:
     """Columns `keep` of docs with score (0 to 1) and predicted (1 if score >= threshold).
 
+    keep must not hold those two names (ValueError).
+
     Whole texts, narrow.  Null and empty texts have no features and get the
     bias' score.
     """
     bias, idx, w = model
     bits = s.bits
-    fields = [f for f in docs.select(*keep).schema.fields]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
+    out = scored_schema(docs, keep, "score double, predicted int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(1 << bits, dtype=np.float32)

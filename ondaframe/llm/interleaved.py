@@ -30,13 +30,17 @@ _ITEMS = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string
 #: HTML elements (fixed values): those that end a run of text, those whose content is no text, those that refer to media.
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
 _SILENT = {"head", "noscript", "script", "style", "template"}
+_IN_HEAD = {"base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 _MEDIA = {"audio", "embed", "iframe", "img", "source", "video"}
 _BLANKS = re.compile(r"\s+")
 
 
 class _Sequence(HTMLParser):
-    def __init__(self) -> None:
+    """silences: the elements whose content is left out."""
+
+    def __init__(self, silences: set[str]) -> None:
         super().__init__(convert_charrefs=True)
+        self.silences = silences
         self.items: list[dict] = []
         self.run: list[str] = []
         self.silent: list[str] = []
@@ -56,7 +60,9 @@ class _Sequence(HTMLParser):
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SILENT:
+        if self.silent == ["head"] and tag not in _IN_HEAD:  # whatever cannot stand in a head ends it
+            self.silent.clear()
+        if tag in self.silences:
             self.silent.append(tag)
         if self.silent:
             return
@@ -80,8 +86,8 @@ class _Sequence(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
+            if tag in self.silent:
+                del self.silent[self.silent.index(tag) :]
             return
         if tag in _BLOCKS:
             self.flush()
@@ -96,11 +102,22 @@ class _Sequence(HTMLParser):
 
 
 def parse(html: str | None) -> list[dict]:
-    """Ordered items of a page; null and empty pages have none."""
-    p = _Sequence()
-    p.feed(html or "")
-    p.close()
-    p.flush()
+    """Ordered items of a page; null and empty pages have none.
+
+    A head ends where something stands that no head can hold.  A head, noscript
+    or template that never ends is read as if its tag were not there; a script
+    or style that never ends goes on to the end of the page, as in browsers.
+    """
+    silences = set(_SILENT)
+    while True:
+        p = _Sequence(silences)
+        p.feed(html or "")
+        p.close()
+        p.flush()
+        open_ = set(p.silent) - {"script", "style"}
+        if not open_:
+            break
+        silences -= open_
     return [{"pos": k, "kind": i["kind"], "text": i["text"], "ref": i["ref"], "caption": i["caption"]} for k, i in enumerate(p.items)]
 
 
@@ -120,12 +137,28 @@ def resolve(sequences: DataFrame, media: DataFrame, key: str, digest: str, colum
     """Sequences with media items resolved: a row per item, in pos order within its key by sorting.
 
     media is first brought to one row per digest, so that repeated payloads do
-    not multiply items.  Items without a match keep null columns.
+    not multiply items.  Items without a match keep null columns.  A digest
+    that more items refer to than an even share of a partition is split: its
+    items are dealt over as many salts as it has shares, and its payload is
+    sent to each.  Such digests are at most a few per partition, and only they
+    are broadcast.  Columns of media may not be named like the key or an item's
+    fields (ValueError).
     """
-    once = media.groupBy(digest).agg(*[F.first(c).alias(c) for c in columns])
-    items = sequences.select(key, F.explode_outer("items").alias("i")).select(key, "i.*")
+    clash = {key.lower(), "pos", "kind", "text", "ref", "caption"} & {c.lower() for c in columns}
+    if clash or key.lower() in ("pos", "kind", "text", "ref", "caption"):
+        raise ValueError(f"names clash with those of items: {sorted(clash) or key}")
+    spark = sequences.sparkSession
     ref = F.when(F.col("ref").startswith(prefix), F.substring("ref", len(prefix) + 1, 64))
-    return items.withColumn("_digest", ref).join(once.withColumnRenamed(digest, "_digest"), "_digest", "left").drop("_digest")
+    items = stage_out(sequences.select(key, F.explode_outer("items").alias("i")).select(key, "i.*").withColumn("_digest", ref), "items")
+    refs = items.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.count("*").alias("n"))
+    shares = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-items.count() // shares))
+    hot = stage_out(refs.where(F.col("n") > share).select("_digest", F.ceil(F.col("n") / share).cast("int").alias("_salts")), "hot-digests")
+    # fewer than `shares` rows, by the threshold
+    salted = items.join(F.broadcast(hot), "_digest", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(key, "pos"), F.col("_salts")).cast("int"), F.lit(0)))
+    once = media.groupBy(F.col(digest).alias("_digest")).agg(*[F.first(c).alias(c) for c in columns])
+    dealt = once.join(F.broadcast(hot), "_digest", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+    return salted.drop("_salts").join(dealt.drop("_salts"), ["_digest", "_salt"], "left").drop("_digest", "_salt")
 
 
 def payload(text: Column) -> Column:
@@ -192,13 +225,11 @@ def store_media(docs: DataFrame) -> DataFrame:
     return stage_out(docs.select(stored(payload(F.col("text"))).alias("media"), F.octet_length(text).cast("bigint").alias("n_bytes")), "media")
 
 
-def as_page(docs: DataFrame, caption_chars: int = 48) -> DataFrame:
-    """doc_id and a page that shows the document's greymap between two lines of text, captioned by the text's start."""
-    start = F.substring(F.coalesce("text", F.lit("")), 1, caption_chars)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        start = F.replace(start, F.lit(a), F.lit(b))
+def as_page(docs: DataFrame) -> DataFrame:
+    """doc_id and a page that shows the document's greymap between two lines of text, captioned by the text's size."""
+    size = F.concat(F.octet_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit(" bytes &amp; padding"))
     digest = F.sha2(stored(payload(F.col("text"))), 256)
-    return docs.select("doc_id", F.concat(F.lit("<article><p>Stored text:</p><figure><img src=\"sha256:"), digest, F.lit('" alt="text"><figcaption>'), start, F.lit("</figcaption></figure><p>End of text.</p></article>")).alias("html"))
+    return docs.select("doc_id", F.concat(F.lit("<article><p>Stored text:</p><figure><img src=\"sha256:"), digest, F.lit('" alt="text"><figcaption>'), size, F.lit("</figcaption></figure><p>End of text.</p></article>")).alias("html"))
 
 
 def document_media(docs: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import ecoc_langid, ftrl_toxicity, interleaved, lsh_forest, probminhash, trie_bpe, url_gbt, vector_packing, vlc_ids, warc_revisits
 from .common import table
 
@@ -66,9 +64,16 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), "word", end_id=1)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 on instruction data, where all three limits bind: 2048 tokens, 16 conversations, 1024 loss-bearing tokens."""
+    return vector_packing.pack_conversations(table(spark, sf_dir, "conversations"), public_tokenizers.path(WORD_BPE))
+
+
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on raw web pages: their items in order."""
+    items = interleaved.parse_sequences(table(spark, sf_dir, "pages"), "page_id")
+    return items.select("page_id", F.explode("items").alias("i")).select("page_id", "i.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_interleaved, op2_warc_revisits, op3_vlc_ids, op4_probminhash, op5_trie_bpe, op6_lsh_forest, op7_ftrl_toxicity, op8_url_gbt, op9_ecoc_langid, op10_vector_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_interleaved, op2_warc_revisits, op3_vlc_ids, op4_probminhash, op5_trie_bpe, op6_lsh_forest, op7_ftrl_toxicity, op8_url_gbt, op9_ecoc_langid, op10_vector_packing, conversation_packing, media_pages)}
 ORACLE_SQL = {"op2_warc_revisits": warc_revisits.SQL}

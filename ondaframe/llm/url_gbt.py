@@ -14,6 +14,7 @@ a projection over the scan with four joins to small tables.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ _KINDS = ["suffix1", "suffix2", "file_suffix", "leading"]
 
 @dataclass(frozen=True)
 class Settings:
-    #: Most labelled URLs that training reads, smallest hash first.
+    #: Most distinct labelled URLs that training reads, smallest hash first.
     max_rows: int = 20_000
     bins: int = 8
     trees: int = 12
@@ -111,9 +112,15 @@ def _tree(tree, value) -> Column:
 
 
 def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
-    """labelled: url, host, path, y (1: block).  No row, or one class only, gives a model without trees."""
-    spark = labelled.sparkSession
-    few = labelled.select("url", "host", "path", F.col("y").cast("double").alias("y")).orderBy(F.xxhash64("url"), "url", "y").limit(s.max_rows)
+    """labelled: url, host, path, y (1: block).  No row, or one class only, gives a model without trees.
+
+    A URL that is repeated counts once.  URLs are thinned by hash to about twice
+    the sample before they are made distinct and ordered.
+    """
+    known = labelled.select("url", "host", "path", F.col("y").cast("double").alias("y"), F.xxhash64("url").alias("_h"))
+    share = min(1.0, 2 * s.max_rows / max(1, known.agg(F.approx_count_distinct("_h")).first()[0]))
+    thin = known.where(F.col("_h") <= int(-(2**63) + share * (2**64 - 1025))).distinct()
+    few = thin.orderBy("_h", "url", "y").limit(s.max_rows).drop("_h")
     sample = stage_out(features(few), "url-sample")
     size, blocked = sample.agg(F.count("*"), F.sum("y")).first()
     if not size:
@@ -129,9 +136,7 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
     cuts = rated.agg(*[F.percentile_approx(n, shares, 2000).alias(n) for n in names]).first()
     model.cuts = {n: sorted(set(cuts[n])) for n in names}
     binned = lambda n: sum((F.when(F.col(n) > c, 1).otherwise(0) for c in model.cuts[n]), F.lit(0))
-    table = stage_out(rated.select("y", *[binned(n).alias(n) for n in names]).groupBy("y", *names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "url-bins")
-    import math
-
+    table = stage_out(rated.select("y", *[binned(n).alias(n) for n in names]).groupBy("y", *names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "url-bins").coalesce(1)  # one partition: levels need no exchange
     p = min(max(prior, 1e-6), 1 - 1e-6)
     model.bias = math.log(p / (1 - p))
     value = lambda n, k: F.col(n) > k
@@ -140,7 +145,6 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
         chance = 1 / (1 + F.exp(-margin))
         graded = table.select(*names, (F.col("n") * (F.col("y") - chance)).alias("g"), (F.col("n") * chance * (1 - chance)).alias("h"))
         model.trees.append(_grow(graded, names, s))
-    del spark
     return model
 
 

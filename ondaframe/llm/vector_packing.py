@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .chunked import loaded
 
@@ -147,7 +148,7 @@ def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int =
     empty table gives no rows; other columns are not read.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key]
+    doc_type = to_arrow_type(docs.schema["doc_id"].dataType)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +225,6 @@ def pack_conversations(turns: DataFrame, path: str, kind: str = "word", end_id:
         if out := rows(packer.end()):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], names)
 
-    conv_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key]
+    conv_type = to_arrow_type(turns.schema["conv_id"].dataType)
     schema = pa.schema([("conv_id", conv_type), *((n, pa.int64()) for n in ("tokens", "loss", "sequence_id", "offset"))])
     return by_conv.mapInArrow(run, f"conv_id {key}, tokens bigint, loss bigint, sequence_id bigint, offset bigint")

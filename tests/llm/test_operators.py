@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import os
 import zlib
 
@@ -38,7 +39,7 @@ def test_media_of_documents(spark, odd):
         assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(t), size, len(m))
         assert r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.media_sha256 == hashlib.sha256(m).hexdigest()
         assert r.tail_crc32 == zlib.crc32(p[-32:])
-        assert r.feature == interleaved.feature(interleaved.read_stored(m)) and r.pos == 1
+        assert r.feature == interleaved.feature(interleaved.read_stored(m)) and r.pos == 1 and r.caption == f"{len(t)} bytes & padding"
     assert interleaved.document_media(odd.limit(0)).count() == 0
 
 
@@ -46,6 +47,9 @@ def test_parsing_keeps_order_positions_and_captions():
     html = '<html><head><title>no</title></head><body>Lead <b>in</b><script>x="<p>"</script><p>A &amp; B<img src="a.png" alt="alt a">after</p><figure><figcaption>Cap <i>first</i></figcaption><img src="sha256:b"><img src="c"></figure><figure><video src="d"></video><figcaption>later</figcaption></figure><img><p>End'
     got = [(i["pos"], i["kind"], i["text"] or i["ref"], i["caption"]) for i in interleaved.parse(html)]
     assert got == [(0, "text", "Lead in", None), (1, "text", "A & B", None), (2, "media", "a.png", "alt a"), (3, "text", "after", None), (4, "media", "sha256:b", "Cap first"), (5, "media", "c", "Cap first"), (6, "media", "d", "later"), (7, "text", "End", None)]
+    for html in ("<html><head><title>t</title><body><p>hi</p><img src='a'></body></html>", "<head><title>t</title><p>hi<img src='a'>", "<noscript><p>hi<img src='a'>", "<p>hi</p><template><img src='a'>", "<html><head><noscript><link></head><body>hi<img src='a'>"):
+        assert [i["text"] or i["ref"] for i in interleaved.parse(html) if i["text"] != "t"] == ["hi", "a"], html
+    assert interleaved.parse("a<script>x<p>b") == interleaved.parse("a")
     assert interleaved.parse(None) == interleaved.parse("") == interleaved.parse("<p></p>") == []
 
 
@@ -56,6 +60,15 @@ def test_resolving_by_digest(spark):
     assert got == {(1, 0): None, (1, 1): 10, (1, 2): None, (1, 3): None, (2, None): None, (3, 0): 10}
 
 
+def test_hot_digests_resolve_like_others(spark):
+    seq = spark.createDataFrame([(k, f"<img src='sha256:{'aa' if k % 3 else 'b' + str(k)}'>") for k in range(900)], "k bigint, html string")
+    media = spark.createDataFrame([("aa", 1)] * 5 + [(f"b{k}", k) for k in range(0, 900, 6)], "digest string, size int")
+    got = {r.k: r.size for r in interleaved.resolve(interleaved.parse_sequences(seq, "k"), media, "k", "digest", ["size"]).collect()}
+    assert got == {k: 1 if k % 3 else k if k % 6 == 0 else None for k in range(900)}
+    with pytest.raises(ValueError):
+        interleaved.resolve(interleaved.parse_sequences(seq, "k"), media.withColumnRenamed("size", "text"), "k", "digest", ["text"])
+
+
 def test_pages_parse_whole(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = interleaved.parse_sequences(pages, "page_id").collect()
@@ -241,6 +254,46 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert ftrl_toxicity.score(odd.limit(0), model, ["doc_id"]).count() == 0
 
 
+def plain_ftrl(rows, s):
+    """FTRL-proximal, coordinate by coordinate."""
+    z, n, bias, seen = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for idx, y in rows:
+            w = {i: weight(i) for i in idx.tolist()}
+            g = (1 / (1 + math.exp(-(bias + sum(w.values())))) - y) * (s.toxic_weight if y else 1)
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(old)) / s.alpha * wi
+            seen += g * g
+            bias -= s.alpha * g / (s.beta + math.sqrt(seen))
+    return bias, {i: weight(i) for i in z if weight(i)}
+
+
+def test_training_is_plain_ftrl():
+    rnd = np.random.default_rng(8)
+    rows = [(np.unique(rnd.integers(0, 64, 12) + 40 * y), int(y)) for y in rnd.integers(0, 2, 150)]
+    s = ftrl_toxicity.Settings(bits=8, l1=0.5, epochs=2)
+    bias, idx, w = ftrl_toxicity.train(rows, s)
+    want_bias, want = plain_ftrl(rows, s)
+    assert abs(bias - want_bias) < 1e-9 and sorted(want) == idx.tolist() and 0 < len(want) < 104
+    assert np.allclose([want[i] for i in idx.tolist()], w, atol=1e-9)
+
+
+def test_features_are_words_stems_pairs_and_skip_grams():
+    h = ftrl_toxicity.WordHasher()
+    a, b, c = h.words("Alpha beta"), h.words("beta, -- gamma!"), h.words("alpha BETA gamma")
+    assert len(ftrl_toxicity.features(a, 20)) == 6 + 1 and len(ftrl_toxicity.features(c, 20)) == 9 + 2 + 1
+    both = set(ftrl_toxicity.features(a, 20).tolist()) | set(ftrl_toxicity.features(b, 20).tolist())
+    assert len(set(ftrl_toxicity.features(c, 20).tolist()) - both) == 1  # the skip-gram
+
+
 def test_language_on_held_out_documents(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.op9_ecoc_langid(spark, SF).collect()
@@ -256,6 +309,10 @@ def test_language_of_odd_rows(spark, odd):
     assert rows[7, "de"].lang_pred in ("en", "de", "es", "fr")
     none = ecoc_langid.fit(odd.where("lang = 'xx'"), F.lit(True))
     assert {r.lang_pred for r in ecoc_langid.predict(odd, none, ["doc_id"]).collect()} == {"und"}
+    assert {r.lang_pred for r in ecoc_langid.predict(spark.createDataFrame([(1, "½ ²"), (2, "12 !")], "doc_id bigint, text string"), model, ["doc_id"]).collect()} == {"und"}
+    assert ecoc_langid.predict(odd.limit(0), model, ["doc_id"]).count() == 0
+    with pytest.raises(ValueError):
+        ecoc_langid.predict(odd, model, ["score"])
     one = ecoc_langid.fit(odd.where("doc_id = 3"), F.lit(True))
     assert {r.lang_pred for r in ecoc_langid.predict(odd.where("doc_id = 3"), one, ["doc_id"]).collect()} == {"en"}
 
@@ -284,6 +341,28 @@ def test_codewords_stay_apart():
         assert min(apart) >= c.shape[1] / 2
 
 
+def test_decoding_is_the_nearest_codeword(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    model = ecoc_langid.fit(docs, F.lit(True))
+    s, table = ecoc_langid.Settings(), ecoc_langid.NgramTable(16, 4)
+    w = np.zeros((1 << 16, model.codes.shape[1]))
+    w[model.buckets] = model.weights
+    bit = np.maximum(model.accuracy - 0.5, 1e-3) / np.maximum(model.accuracy - 0.5, 1e-3).sum()
+    got = {r.doc_id: r for r in ecoc_langid.predict(docs, model, ["doc_id"]).collect()}
+    for r in docs.collect():
+        g = [x for word in (r.text or "").lower().split() for x in table.grams(word).tolist()]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        margin = w[g].sum(axis=0) / len(g)
+        loss = [sum(np.log1p(np.exp(-k * m)) * b for k, m, b in zip(code, margin, bit, strict=True)) for code in model.codes.astype(float)]
+        share = np.exp(-8 * np.array(loss)) / np.exp(-8 * np.array(loss)).sum()
+        order = np.sort(share)
+        assert abs(got[r.doc_id].score - order[-1]) < 1e-4
+        if order[-1] - order[-2] > 1e-3:
+            assert got[r.doc_id].lang_pred == model.languages[int(share.argmax())] and abs(order[-1] - order[-2] - s.margin) < 1e-3 or got[r.doc_id].ambiguous == bool(order[-1] - order[-2] < s.margin)
+
+
 def plain_url(url):
     if url is None or "://" not in url:
         return "", ""
@@ -322,6 +401,35 @@ def test_trees_learn_the_rules(spark):
     assert sum((r.score >= 0.5) == r.y for r in got) / len(got) > 0.9
 
 
+def test_a_tree_takes_the_best_splits(spark):
+    rnd = np.random.default_rng(2)
+    x = rnd.integers(0, 4, (300, 3))
+    g, h = rnd.normal(size=300) + (x[:, 1] > 1) * (1 + x[:, 0]), rnd.random(300)
+    s = url_gbt.Settings()
+    df = spark.createDataFrame([(*map(int, r), float(a), float(b)) for r, a, b in zip(x, g, h, strict=True)], "a int, b int, c int, g double, h double").coalesce(1)
+
+    def grow(rows, depth):
+        G, H = g[rows].sum(), h[rows].sum()
+        best = None
+        for k in range(3) if depth else ():
+            for cut in range(3):
+                low = rows[x[rows, k] <= cut]
+                if 0 < len(low) < len(rows):
+                    a, b = g[low].sum(), h[low].sum()
+                    gain = a * a / (b + s.l2) + (G - a) ** 2 / (H - b + s.l2) - G * G / (H + s.l2)
+                    if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                        best = gain, k, cut
+        if not best:
+            return s.rate * G / (H + s.l2)
+        _, k, cut = best
+        return "abc"[k], cut, grow(rows[x[rows, k] <= cut], depth - 1), grow(rows[x[rows, k] > cut], depth - 1)
+
+    def same(a, b):
+        return abs(a - b) < 1e-9 if not isinstance(a, tuple) else a[:2] == b[:2] and same(a[2], b[2]) and same(a[3], b[3])
+
+    assert same(grow(np.arange(300), s.depth), url_gbt._grow(df, ["a", "b", "c"], s))
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme/x", "http://", "HTTP://EXAMPLE.ORG/es/1", "a://b.com?x=1#y", "x://org/en/1", "http://é.İ.com/fr/é?a&b", "http://a.com/" + "d1-" * 20000, "http://notcom/fr/", "u://h\n.com/de/\nx"]
     df = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)] + [(0, None, "h", 1)], "page_id bigint, url string, host string, score int")
@@ -386,6 +494,26 @@ def test_pipeline_keeps_one_row_of_each_class(spark):
     assert sorted((x for x in got if x not in alike), key=str) == sorted([(3, near), (None, b), (5, c), (9, e), (9, f), (4, "")], key=str)
 
 
+def test_pipeline_of_odd_rows(spark):
+    import corpus_pipeline
+
+    extra = "score int, predicted string, lang_pred string, ambiguous int, row int, at int, class_id int, h int, pos int"
+    rows = [(*r[:3], "web", 5, *([k] + [str(k)] * 2 + [k] * 6)) for k, r in enumerate(ODD_DOCS)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + extra)
+    want = df.where("text is not null and text rlike '[a-z漢]'")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == df.columns and docs.dtypes == df.dtypes
+    kept = {(r.doc_id, r.score) for r in docs.collect()}
+    assert kept <= {(r.doc_id, r.score) for r in want.collect()} and {d for d, _ in kept} == {3, 4, 7}
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, docs, SF).collect()} == {3, 4, 7}
+    none = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SF)
+        assert none.count() == 0
+
+
 def test_word_sums_are_those_of_single_words():
     table = ecoc_langid.NgramTable(12, 4)
     w = np.random.default_rng(0).standard_normal((1 << 12, 3)).astype(np.float32)
