@@ -22,13 +22,23 @@ PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "la
 
 
 def canonical(url: Column) -> Column:
-    """Scheme, `www.`, fragment, tracking parameters and a closing slash go; the host is lower-cased.  Null stays null."""
+    """Scheme, its default port, `www.`, fragment, tracking parameters, dot segments and a closing slash go; the host is lower-cased and hexadecimal digits after a `%` are upper-cased.
+
+    The order of parameters stays: it can matter.  Null stays null.
+    """
+    secure = F.lower(url).startswith("https://")
     bare = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r"^www\.", "")
+    host = F.when(secure, F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
     rest = F.regexp_extract(bare, r"^[^/?]*(.*)$", 1)
     kept = F.regexp_replace(rest, r"([?&])(utm_[a-z]+|ref)=[^&]*", r"$1")
     kept = F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"&+", "&"), r"\?&", "?"), r"[?&]+$", "")
-    return F.concat(host, F.regexp_replace(kept, r"/+$", ""))
+    kept = F.array_join(F.transform(F.split(kept, "%"), lambda x, i: F.when((i > 0) & x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(x, 1, 2)), x.substr(F.lit(3), F.length(x)))).otherwise(x)), "%")
+    path, query = F.regexp_extract(kept, r"^([^?]*)", 1), F.regexp_extract(kept, r"^[^?]*(.*)$", 1)
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    dotted = path.contains("/.")
+    plain = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), up), "/")
+    return F.concat(host, F.regexp_replace(F.concat(F.when(dotted, plain).otherwise(path), query), r"/+$", ""))
 
 
 def header_lines(headers: Column) -> Column:
@@ -44,7 +54,8 @@ def resolve(records: DataFrame, buckets: int = 256) -> DataFrame:
     URL).  If the revisit has an ETag it alone decides, compared weakly;
     otherwise Last-Modified.  Only resolved rows have digest, status and headers:
     the response's, with the permitted ones of the revisit put in.  Of
-    responses at one time the larger record_id counts; a response at the
+    responses at one time the larger record_id counts; only responses of status
+    200 are full (a 206 is a part, and a redirect or an error is no page); a response at the
     revisit's own time is not earlier.  Records without a time are orphans if
     revisits and are not found if responses.  Repeated revisits stay.
     """
@@ -52,7 +63,7 @@ def resolve(records: DataFrame, buckets: int = 256) -> DataFrame:
     lo, hi = keyed.agg(F.min("ts"), F.max("ts")).first()
     width = max(1, ((hi or 0) - (lo or 0)) // buckets + 1)
     whole = F.struct("ts", "record_id", "etag", "last_modified", "status", "digest", F.array_sort(F.map_entries("headers")).alias("headers"))
-    full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), whole)
+    full = F.when((F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull(), whole)
     known = keyed.where(F.col("canonical_url").isNotNull() & F.col("ts").isNotNull())
     at = known.withColumn("bucket", F.floor((F.col("ts") - F.lit(lo or 0)) / width)).withColumn("full", full)
     key = ["canonical_url", "bucket"]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ondaframe.llm import components, ecoc_langid, ftrl_toxicity, interleaved, lsh_forest, probminhash, queries, url_gbt, warc_revisits
+from ondaframe.llm import components, ecoc_langid, ftrl_toxicity, interleaved, lsh_forest, probminhash, queries, url_gbt, warc_files, warc_revisits
 
 SF = "/root/testdata/sf0.01"
 ODD_DOCS = [(1, None, "en", 9), (2, "", "fr", 9), (2, "", "fr", 9), (3, "x" * 200_000, "en", 9), (4, "one two", None, 9), (5, "one two", None, 9), (None, "one two", "en", 9), (6, " \n ", "es", 9), (7, "é 漢字 \U0001f600", "de", 9), (8, None, None, 9)]
@@ -105,6 +105,39 @@ def test_revisits_of_odd_records(spark):
     assert warc_revisits.resolve(df.limit(0)).count() == 0
 
 
+def test_canonical_urls(spark):
+    same = [
+        ("http://A.com:80/y", "a.com/y"), ("https://a.com:443/y/", "http://www.a.com/y#f"), ("http://a.com/b/../y/./z", "a.com/y/z"), ("http://a.com/%c3%a9?q=%2f", "http://a.com/%C3%A9?q=%2F"),
+        ("http://a.com/../../y", "a.com/y"), ("http://a.com/?utm_source=x", "a.com"),
+    ]
+    apart = [("http://a.com:8080/y", "http://a.com/y"), ("https://a.com:80/y", "https://a.com/y"), ("http://a.com/?a=1&b=2", "http://a.com/?b=2&a=1"), ("http://a.com/%zz", "http://a.com/%ZZ"), ("http://a.com/.y", "http://a.com/y")]
+    df = spark.createDataFrame(same + apart, "a string, b string")
+    got = [r.on for r in df.select((warc_revisits.canonical(F.col("a")) == warc_revisits.canonical(F.col("b"))).alias("on")).collect()]
+    assert got == [True] * len(same) + [False] * len(apart)
+
+
+def test_only_full_responses_count(spark):
+    rows = [(1, "response", "a.com/y", 10, 200, "a"), (2, "response", "a.com/y", 11, 500, "a"), (3, "response", "a.com/y", 12, 206, "a"), (4, "response", "a.com/y", 13, None, "a"), (5, "revisit", "http://a.com:80/y", 14, 304, "a")]
+    df = spark.createDataFrame([(*r, None, {}, f"d{r[0]}", "x", 1) for r in rows], "record_id int, kind string, url string, ts int, status int, etag string, last_modified string, headers map<string,string>, digest string, outcome string, bucket int")
+    assert [(r.outcome, r.response_id, r.digest) for r in warc_revisits.resolve(df).collect()] == [("resolved", 1, "d1")]
+
+
+def test_warc_files_round_trip(spark, tmp_path):
+    rows = [
+        ("<urn:1>", "response", "http://a.com/y", 1_700_000_000, 200, {"etag": '"x"', "last-modified": "d"}, "sha1:A", b"<p>\r\n\r\nbytes \xff\x00</p>"), ("<urn:2>", "revisit", "http://a.com:80/y", 1_700_000_100, 304, {"etag": 'W/"x"', "date": "now"}, None, None),
+        ("<urn:3>", "response", None, None, 404, None, None, b""), ("<urn:4>", "metadata", "http://a.com/y", 1_700_000_000, 200, {}, None, b"left out"),
+    ]
+    schema = "record_id string, kind string, url string, ts bigint, status int, headers map<string,string>, digest string, payload binary"
+    warc_files.write(spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path / "w"))
+    back = warc_files.read(spark, str(tmp_path / "w"))
+    got = {r.record_id: r for r in back.collect()}
+    assert sorted(got) == ["<urn:1>", "<urn:2>", "<urn:3>"] and all(r.whole for r in got.values())
+    for i, kind, url, ts, status, headers, digest, payload in rows[:3]:
+        r = got[i]
+        assert (r.kind, r.url, r.ts, r.status, r.headers, r.digest, bytes(r.payload)) == (kind, url, ts, status, headers or {}, digest, payload or b"")
+    assert [(r.outcome, r.response_id, r.headers["date"]) for r in warc_revisits.resolve(back).collect()] == [("resolved", "<urn:1>", "now")]
+
+
 def brute_classes(docs):
     sh = probminhash.Shingler(5)
     prof, by_text, parent, where = {}, {}, {}, {}
