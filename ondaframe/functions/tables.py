@@ -2,7 +2,20 @@
 
 #: Band widths of a 128-line short window at 48 and 44.1 kHz, and of a 1024-line long window at the same rates.
 SHORT_48 = [4, 4, 4, 4, 4, 8, 8, 8, 12, 12, 12, 16, 16, 16]
-LONG_48 = [4] * 10 + [8] * 7 + [12] * 4 + [16] * 2 + [20] * 2 + [24] * 2 + [28] * 2 + [32] * 19 + [96]
+LONG_48 = [4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 8, 8, 8, 8, 8, 8, 8, 12, 12, 12, 12, 16, 16, 20, 20, 24, 24, 28, 28, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 96]
+#: The same at the other rates, by the highest rate that has them.
+LONG_96 = [4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 8, 8, 8, 8, 8, 12, 12, 12, 12, 12, 16, 16, 24, 28, 36, 44, 64, 64, 64, 64, 64, 64, 64, 64, 64, 64, 64]
+SHORT_96 = [4, 4, 4, 4, 4, 4, 8, 8, 8, 16, 28, 36]
+LONG_64 = [4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 8, 8, 8, 8, 12, 12, 12, 16, 16, 16, 20, 24, 24, 28, 36, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40, 40]
+LONG_32 = [4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 8, 8, 8, 8, 8, 8, 8, 12, 12, 12, 12, 16, 16, 20, 20, 24, 24, 28, 28, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32, 32]
+LONG_24 = [4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 12, 12, 12, 12, 16, 16, 16, 20, 20, 24, 24, 28, 28, 32, 36, 36, 40, 44, 48, 52, 52, 64, 64, 64, 64, 64]
+SHORT_24 = [4, 4, 4, 4, 4, 4, 4, 8, 8, 8, 12, 12, 16, 16, 20]
+LONG_16 = [8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 12, 12, 12, 12, 12, 12, 12, 12, 12, 16, 16, 16, 16, 20, 20, 20, 24, 24, 28, 28, 32, 36, 40, 40, 44, 48, 52, 56, 60, 64, 64, 64]
+SHORT_16 = [4, 4, 4, 4, 4, 4, 4, 4, 8, 8, 12, 12, 16, 20, 20]
+LONG_8 = [12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 16, 16, 16, 16, 16, 16, 16, 20, 20, 20, 20, 24, 24, 24, 28, 28, 32, 36, 36, 40, 44, 48, 52, 56, 60, 64, 80]
+SHORT_8 = [4, 4, 4, 4, 4, 4, 4, 8, 8, 8, 8, 12, 16, 20, 20]
+#: Most bands that a noise-shaping filter reaches, for long and short windows, by sampling-rate index.
+FILTER_BANDS = [(31, 9), (31, 9), (34, 10), (40, 14), (42, 14), (51, 14), (46, 14), (46, 14), (42, 14), (42, 14), (42, 14), (39, 14)]
 #: Least rate of each sampling-rate index 0 to 11.
 RATE_BOUNDARIES = [92017, 75132, 55426, 46009, 37566, 27713, 23004, 18783, 13856, 11502, 9391, 0]
 #: Sampling rates by index.
@@ -27,3 +40,15 @@ def offsets(widths: list[int]) -> list[int]:
     for w in widths:
         out.append(out[-1] + w)
     return out
+
+
+def rate_index(hz: int) -> int:
+    return next(k for k, least in enumerate(RATE_BOUNDARIES) if hz >= least)
+
+
+def band_widths(hz: int, short: bool) -> list[int]:
+    """Band widths of a 1024-line long or a 128-line short window."""
+    k = rate_index(hz)
+    long_tables = [LONG_96, LONG_96, LONG_64, LONG_48, LONG_48, LONG_32, LONG_24, LONG_24, LONG_16, LONG_16, LONG_16, LONG_8]
+    short_tables = [SHORT_96, SHORT_96, SHORT_96, SHORT_48, SHORT_48, SHORT_48, SHORT_24, SHORT_24, SHORT_16, SHORT_16, SHORT_16, SHORT_8]
+    return (short_tables if short else long_tables)[k]

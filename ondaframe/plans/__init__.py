@@ -1,6 +1,6 @@
 """Queries over the driver's tables, a module for each family of operators."""
 
-from . import bitstream, decoder, encoder, fixed_point, output, records, replication, speech, transforms  # noqa: F401
+from . import bitstream, coding, decoder, encoder, fixed_point, output, records, replication, speech, syntax, transforms  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

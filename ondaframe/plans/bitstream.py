@@ -30,15 +30,14 @@ def _crc_sql(width: int, poly: int, start: int, bits: str = "null") -> str:
     return f"with {BYTES_SQL} select doc_id, cast(list_reduce(list_prepend({start}, {cut}), lambda c, x: xor((c * 2) & {mask}, case when (case when c >= {top} then 1 else 0 end) <> x then {poly} else 0 end)) as bigint) as crc from bts"
 
 
-@plan("s23_crc16", _crc_sql(16, 0x8005, 0xFFFF))
-def s23(spark, sf_dir):
-    """Over the first 32 bytes, as its SQL; s23_crc16_whole is the CRC of the text."""
-    return head(spark, sf_dir).select("doc_id", B.crc(B.byte_array(F.col("b")), 16, 0x8005, 0xFFFF).cast("bigint").alias("crc"))
+#: A fold over all bits of each text.
+_WHOLE = "bts as (select doc_id, list_transform(range(0, octet_length(encode(text))), lambda i: ('0x' || hex(encode(text))[2 * i + 1 : 2 * i + 2])::integer) as b from documents)"
 
 
-@plan("s23_crc16_whole")
-def s23_whole(spark, sf_dir):
-    """Over all bytes of each text; no SQL folds texts of any length.  A null text has none."""
+@plan("s23_crc16_whole", _crc_sql(16, 0x8005, 0xFFFF).replace(BYTES_SQL, _WHOLE))
+@plan("s23_crc16", _crc_sql(16, 0x8005, 0xFFFF).replace(BYTES_SQL, _WHOLE))
+def s23(spark, sf_dir):
+    """Over all bytes of each text.  A null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,11 +77,6 @@ def s19(spark, sf_dir):
     return head(spark, sf_dir).select("doc_id", (part(29) * 16777216 + part(30) * 65536 + part(31) * 256).alias("peek"))
 
 
-@plan("s16_container_sniff", "select doc_id, hex(encode(text))[1:6] = '546865' as found from documents")
-def s16(spark, sf_dir):
-    return head(spark, sf_dir).select("doc_id", (F.substring("b", 1, 3) == F.lit(b"The")).alias("found"))
-
-
 _IDX = "(event_id % 16)"
 
 

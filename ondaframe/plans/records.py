@@ -86,18 +86,6 @@ def q10(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *[(F.round(v, 7) + 0.0).alias(k) for k, v in h.items()])
 
 
-@plan("h12_section_cost", "with e as (select vec_id, unnest(range(64)) as k, cast(unnest(embedding) as double) as x from embeddings), b as (select vec_id, k, case when x < -0.1 then 0 when x < 0.1 then 1 else 5 end as book from e), r as (select *, lag(book) over (partition by vec_id order by k) as before from b) select vec_id, cast(sum(case when book > 0 then book + 2 else 0 end) + 9 * count(*) filter (where before is null or before <> book) as bigint) as bits from r group by 1")
-def h12(spark, sf_dir):
-    """Bits of a frame's books and of one record of 9 bits a run (the scalefactor deltas' code lengths are left out)."""
-    from ..sources.signals import spectra
-
-    book = F.transform("x", lambda x: F.when(x < -0.1, 0).when(x < 0.1, 1).otherwise(5))
-    b = spectra(spark, sf_dir).select("vec_id", book.alias("b"))
-    bits = F.aggregate("b", F.lit(0).cast("bigint"), lambda s, v: s + F.when(v > 0, v + 2).otherwise(0))
-    runs = F.size(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: (k == 0) | (F.get("b", k) != F.get("b", F.greatest(k - 1, F.lit(0))))))
-    return b.select("vec_id", (bits + runs * 9).cast("bigint").alias("bits"))
-
-
 @plan("o17_gain_record", "select event_id, '0' || '0' || '0' || '1' || lpad(bin(lvl), 7, '0') || '0' || case when g < 0 then '1' else '0' end || lpad(bin(abs(g)), 7, '0') as bits from (select event_id, event_id % 128 as lvl, event_id % 255 - 127 as g from events) t")
 def o17(spark, sf_dir):
     """A one-band gain record with a reference level, as bits."""

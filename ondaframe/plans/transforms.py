@@ -106,13 +106,16 @@ def coded(spark, sf_dir):
     return blocks(spark, sf_dir).select("stream", "f", T.mdct(T.windowed(F.col("b"), T.sine_window(2 * N)), N).alias("y"))
 
 
-@plan("t11_synthesis", f"with {FR} select a.stream, a.f, a.i, round(coalesce(b.x, 0), 6) + 0.0 as x from fr a left join fr b on a.stream = b.stream and a.i = b.i and a.f = b.f + 1")
+@plan("t11_synthesis", f"with {FR} select a.stream, a.f, a.i, round(coalesce(b.x, 0) * 32768, 6) + 0.0 as x from fr a left join fr b on a.stream = b.stream and a.i = b.i and a.f = b.f + 1")
 def t11(spark, sf_dir):
-    """Inverse transform, window and overlap-add of t13's spectra: the input, a frame late (what the oracle states)."""
+    """Inverse transform, window and overlap-add of t13's spectra: the input, a frame late (what the oracle states).
+
+    In units of samples: those are integers, so no rounding meets a tie.
+    """
     back = coded(spark, sf_dir).select("stream", "f", T.windowed(T.imdct(F.col("y"), N), T.sine_window(2 * N)).alias("b"))
     halves = back.select("stream", "f", F.slice("b", 1, N).alias("head"), F.slice("b", N + 1, N).alias("x"))
     met = with_previous(halves.select("stream", "f", "x"), N).select("stream", "f", "p").join(halves.select("stream", "f", "head"), ["stream", "f"])
-    return long_form(met.select("stream", "f", F.zip_with("head", "p", lambda a, b: F.round(a + b, 6) + 0.0).alias("x")), "x", "i", "x")
+    return long_form(met.select("stream", "f", F.zip_with("head", "p", lambda a, b: F.round((a + b) * FULL_SCALE, 6) + 0.0).alias("x")), "x", "i", "x")
 
 
 @plan("t12_eight_short", "with e as (select vec_id, cast(unnest(embedding) as double) as x, unnest(range(64)) as p from embeddings), s as (select vec_id, p // 8 as w, p % 8 as k, x from e), n as (select unnest(range(16)) as i), y as (select vec_id, w, i, sum(x * cos(pi() / 8 * (i + 4.5) * (k + 0.5))) / 8 * sin(pi() * (i + 0.5) / 16) as y from s, n group by vec_id, w, i) select vec_id, j as i, round(sum(y), 8) as y from (select vec_id, 28 + w * 8 + i as j, y from y) z group by vec_id, j")
