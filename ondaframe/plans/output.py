@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import folds
+from ..operators.streams import by_row
 from ..sources.signals import FULL_SCALE, PCM_SQL, frames, pcm, table
 from .registry import plan
 
@@ -91,8 +92,13 @@ def o16(spark, sf_dir):
 
 @plan("o5_metadata_hold", "select event_id, last_value(case when event_id % 7 = 3 then value end ignore nulls) over (partition by event_type order by event_id rows between unbounded preceding and current row) as held from events")
 def o5(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_id") % 7 == 3, F.col("value")), ignorenulls=True).over(w).alias("held"))
+    """Held within runs of event numbers; one row a run carries the last value on."""
+    run = F.floor(F.col("event_id") / 65536)
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", run.alias("run"), F.when(F.col("event_id") % 7 == 3, F.col("value")).alias("v"))
+    near = e.withColumn("near", F.last("v", ignorenulls=True).over(Window.partitionBy("event_type", "run").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = e.groupBy("event_type", "run").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("event_id"))).alias("v"))
+    carried = ends.select("event_type", "run", F.last("v", ignorenulls=True).over(Window.partitionBy("event_type").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return near.join(carried, ["event_type", "run"]).select("event_id", F.coalesce("near", "carried").alias("held"))
 
 
 @plan("o6_band_gain", "select event_id, round(pow(10, g / 4.0 * case when g < 0 then 0.75 else 0.5 end / 20), 9) as gain from (select event_id, event_id % 255 - 127 as g from events) t")
@@ -119,38 +125,82 @@ def o9(spark, sf_dir):
     return pcm(spark, sf_dir).select("stream", "n", F.round(F.col("s") * 1.25, 4).alias("x"))
 
 
-@plan("o10_k_weighting")
+def _sections_sql() -> str:
+    """A recursive CTE: both sections, a sample at a time."""
+    (b, a), (d, c) = folds.k_weighting(RATE)
+    return f"with recursive {PCM_SQL}, x as (select stream, n, s / 32768.0::double as x from pcm), r as (select stream, -1::bigint as n, 0.0::double as x1, 0.0::double as x2, 0.0::double as y1, 0.0::double as y2, 0.0::double as z1, 0.0::double as z2 from (select distinct stream from x) union all select t.stream, t.n, t.x, t.x1, t.y, t.y1, {d[0]!r}::double * t.y + {d[1]!r}::double * t.y1 + {d[2]!r}::double * t.y2 - {c[0]!r}::double * t.z1 - {c[1]!r}::double * t.z2, t.z1 from (select x.stream, x.n, x.x, r.x1, r.y1, r.y2, r.z1, r.z2, {b[0]!r}::double * x.x + {b[1]!r}::double * r.x1 + {b[2]!r}::double * r.x2 - {a[0]!r}::double * r.y1 - {a[1]!r}::double * r.y2 as y from r join x on x.stream = r.stream and x.n = r.n + 1) t) select stream, n, round(z1, 7) + 0.0 as y from r where n >= 0"
+
+
+def _in_frames(samples, size: int):
+    """stream, f, x: frames of `size` values x of (stream, n, x), the last filled up with zeros."""
+    cut = samples.groupBy("stream", F.floor(F.col("n") / size).alias("f")).agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("r"))
+    x = F.transform("r", lambda r: r["x"].cast("double"))
+    return cut.select("stream", "f", F.concat(x, F.array_repeat(F.lit(0.0), F.lit(size) - F.size("r"))).alias("x"))
+
+
+@plan("o10_k_weighting", _sections_sql())
 def o10(spark, sf_dir):
-    """Rows only: two recursive sections per stream."""
+    """Two recursive sections, frame by frame."""
+    x = _scaled(spark, sf_dir).select("stream", "n", "x")
+    y = folds.filtered(_in_frames(x, 256), folds.cascade(folds.k_weighting(RATE), 256))
+    flat = y.select("stream", "f", F.posexplode("y").alias("i", "y")).select("stream", (F.col("f") * 256 + F.col("i")).alias("n"), "y")
+    ends = x.groupBy("stream").agg(F.max("n").alias("last"))
+    return flat.join(F.broadcast(ends), "stream").where(F.col("n") <= F.col("last")).select("stream", "n", (F.round("y", 7) + 0.0).alias("y"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        y, _ = folds.weighted(g["x"].to_numpy(), RATE)
-        return g.assign(y=y)[["stream", "n", "y"]]
 
-    return folds.per_stream(_scaled(spark, sf_dir), run, "stream string, n bigint, y double", "n")
+_LIMIT = max(1, int(folds.ATTACK_MS * RATE / 1000))
+_UP, _DOWN = 0.1 ** (1 / (_LIMIT + 1)), 0.1 ** (1 / (folds.RELEASE_MS * RATE / 1000 + 1))
 
 
-@plan("o3_peak_limiter")
+@plan(
+    "o3_peak_limiter",
+    f"with recursive {PCM_SQL}, w as (select stream, n, s * 4.0::double as s, max(abs(s * 4.0::double)) over (partition by stream order by n rows between {_LIMIT - 1} preceding and current row) as top, lag(s * 4.0::double, {_LIMIT}, 0.0::double) over (partition by stream order by n) as late from pcm), g as (select *, case when top > {folds.THRESHOLD} then {folds.THRESHOLD}::double / top else 1.0::double end as g from w), r as (select stream, -1::bigint as n, 1.0::double as gain, 1.0::double as target, 0.0::double as y from (select distinct stream from pcm) union all select t.stream, t.n, t.gain, t.target, greatest(-{folds.THRESHOLD}, least({folds.THRESHOLD}, t.late * t.gain)) from (select u.stream, u.n, u.late, u.target, case when u.target < u.gain then greatest({_UP!r}::double * (u.gain - u.target) + u.target, u.g) else {_DOWN!r}::double * (u.gain - u.target) + u.target end as gain from (select g.stream, g.n, g.late, g.g, r.gain, case when g.g < r.gain then least(r.target, (g.g - 0.1::double * r.gain) / 0.9::double) else g.g end as target from r join g on g.stream = r.stream and g.n = r.n + 1) u) t) select stream, n, round(gain, 7) as gain, round(y, 3) + 0.0 as y from r where n >= 0",
+)
 def o3(spark, sf_dir):
-    """Rows only: recursive gain."""
+    """Samples four times as loud, late by the attack time, within the threshold."""
+
+    def step(c, state):
+        y, gain, state = folds.limit(c["s"].astype(float)[:, None] * 4.0, RATE, state)
+        return {"stream": c["stream"], "n": c["n"], "gain": gain, "y": y[:, 0]}, state
+
+    got = folds.in_order(pcm(spark, sf_dir), "n", step, "stream string, n bigint, gain double, y double")
+    return got.select("stream", "n", F.round("gain", 7).alias("gain"), (F.round("y", 3) + 0.0).alias("y"))
+
+
+def _energies(spark, sf_dir):
+    """stream, f, e: energies of eight sub-blocks of each complete frame of 64 samples, high-passed."""
+    x = pcm(spark, sf_dir)
+    y = folds.filtered(frames(x, 64), folds.highpass(64))
+    return y.select("stream", "f", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda w: F.aggregate(F.slice("y", w * 8 + 1, 8), F.lit(0.0), lambda a, v: a + v * v)).alias("e"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        y, gain, _ = folds.limit(g[["s"]].to_numpy(float), RATE)
-        return g.assign(y=y[:, 0], gain=gain)[["stream", "n", "y", "gain"]]
 
-    return folds.per_stream(pcm(spark, sf_dir), run, "stream string, n bigint, y double, gain double", "n")
+_ENERGY = f"with recursive {PCM_SQL}, fr as (select stream, n, n // 64 as f, cast(s as double) as x from pcm qualify count(*) over (partition by stream, n // 64) = 64), h as (select stream, -1::bigint as n, 0.0::double as x, 0.0::double as y from (select distinct stream from fr) union all select fr.stream, fr.n, fr.x, {folds.HIGHPASS_GAIN} * (fr.x - h.x) + {folds.HIGHPASS_POLE} * h.y from h join fr on fr.stream = h.stream and fr.n = h.n + 1), en as (select stream, n // 8 as b, sum(y * y) as e from h where n >= 0 group by all)"
 
 
-@plan("a2_attack_decision")
+@plan("a1_transient_energy", f"{_ENERGY} select stream, b // 8 as f, b % 8 as sub_block, round(e, 2) as e from en")
+def a1(spark, sf_dir):
+    return _energies(spark, sf_dir).select("stream", "f", F.posexplode("e").alias("sub_block", "e")).select("stream", "f", "sub_block", F.round("e", 2).alias("e"))
+
+
+@plan(
+    "a2_attack_decision",
+    f"{_ENERGY}, av as (select stream, -1::bigint as b, 0.0::double as a, 0.0::double as e from (select distinct stream from en) union all select en.stream, en.b, av.a + {folds.AVERAGE} * (av.e - av.a), en.e from av join en on en.stream = av.stream and en.b = av.b + 1), raw as (select stream, b // 8 as f, max(case when e * {folds.RATIO} > a then b % 8 else -1 end) as last, max(e) as top from av where b >= 0 group by all), l as (select stream, f, case when top >= {folds.FLOOR} then last else -1 end as last from raw), p as (select *, lag(last, 1, -1) over (partition by stream order by f) as before from l) select stream, f, last >= 0 or before = 7 as attack, case when last >= 0 then last when before = 7 then 0 end as sub_block from p",
+)
 def a2(spark, sf_dir):
-    """Rows only: attacks and window sequences (A1 to A3) over frames of 64 samples."""
+    """By runs of 1,024 frames; each run also sees the frames before it that still have weight in the average."""
+    run, back = 1024, -(-folds.MEMORY // 8) + 1
+    e = _energies(spark, sf_dir)
+    own = F.floor(F.col("f") / run)
+    met = e.withColumn("run", F.explode(F.array_distinct(F.array(own, F.floor((F.col("f") + back) / run)))))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        d = folds.TransientDetector()
-        found = [d.analyse(x) for x in g["x"]]
-        return g.assign(attack=[a for a, _ in found], sub_block=[p for _, p in found], sequence=folds.sequences([a for a, _ in found]))[["stream", "f", "attack", "sub_block", "sequence"]]
+    def decide(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("f", kind="stable")
+        attack, place = folds.attacks(np.stack(g["e"].to_numpy()))
+        g = g.assign(attack=attack, sub_block=pd.array(np.where(attack, place, 0), dtype="Int32"))
+        g.loc[~g["attack"], "sub_block"] = pd.NA
+        return g[g["f"] // run == g["run"]][["stream", "f", "attack", "sub_block"]]
 
-    return folds.per_stream(frames(pcm(spark, sf_dir), 64), run, "stream string, f bigint, attack boolean, sub_block int, sequence string", "f")
+    return met.groupBy("stream", "run").applyInPandas(decide, "stream string, f bigint, attack boolean, sub_block int")
 
 
 @plan(
@@ -158,14 +208,33 @@ def a2(spark, sf_dir):
     "with recursive e as (select event_type as stream, row_number() over (partition by event_type order by event_id) as n, value > 300 as here, coalesce(lead(value > 300) over (partition by event_type order by event_id), false) as ahead from events), r as (select stream, n, case when ahead then 'start' else 'long' end as sequence from e where n = 1 union all select e.stream, e.n, case when r.sequence = 'start' then 'short' when r.sequence = 'short' then case when e.here then 'short' else 'stop' end when e.ahead then 'start' else 'long' end from r join e on e.stream = r.stream and e.n = r.n + 1) select stream, n - 1 as n, sequence from r",
 )
 def a3(spark, sf_dir):
+    """A state machine as a scan: maps of states are composed within runs of frames, and a row a run is carried on."""
     from ..sources.signals import numbered
 
-    e = numbered(table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), "event_id", (F.col("value") > 300).alias("attack")), "stream", "event_id")
+    size = 4096
+    e = numbered(table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), "event_id", (F.col("value") > 300).alias("here")), "stream", "event_id").select("stream", "n", "here")
+    # a frame meets the next one's attack by both being sent to one number
+    met = e.select("stream", "n", "here", F.lit(None).cast("boolean").alias("ahead")).unionByName(e.select("stream", (F.col("n") - 1).alias("n"), F.lit(None).cast("boolean").alias("here"), F.col("here").alias("ahead")))
+    pairs = met.groupBy("stream", "n").agg(F.first("here", ignorenulls=True).alias("here"), F.coalesce(F.first("ahead", ignorenulls=True), F.lit(False)).alias("ahead")).where(F.col("here").isNotNull())
+    runs = pairs.groupBy("stream", F.floor(F.col("n") / size).alias("run")).agg(F.array_sort(F.collect_list(F.struct("n", "here", "ahead"))).alias("r"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return g.assign(sequence=folds.sequences(g["attack"].tolist()))[["stream", "n", "sequence"]]
+    def maps(r):
+        m = folds.composed(np.array([x["here"] for x in r["r"]]), np.array([x["ahead"] for x in r["r"]]))
+        return [{"stream": r["stream"], "run": r["run"], "first": r["r"][0]["n"], "states": m.reshape(-1).tolist(), "leaves": m[-1].tolist()}]
 
-    return folds.per_stream(e.select("stream", "n", "attack"), run, "stream string, n bigint, sequence string", "n")
+    done = by_row(runs, maps, "stream string, run bigint, first bigint, states array<int>, leaves array<int>")
+
+    def enter(c, state):
+        at, out = folds.LONG if state is None else state, []
+        for leaves in c["leaves"]:
+            out.append(at)
+            at = int(leaves[at])
+        return {"stream": c["stream"], "run": c["run"], "enters": out}, at
+
+    entered = folds.in_order(done.select("stream", "run", "leaves"), "run", enter, "stream string, run bigint, enters int")
+    name = F.array(*map(F.lit, folds.SEQUENCE_NAMES.tolist()))
+    state = F.posexplode(F.filter("states", lambda _, k: k % 4 == F.col("enters"))).alias("i", "state")
+    return done.join(entered, ["stream", "run"]).select("stream", "first", state).select("stream", (F.col("first") + F.col("i")).alias("n"), F.get(name, F.col("state")).alias("sequence"))
 
 
 #: A test signal against its reference: the samples off by a little at every third place, and shifted by 3.
@@ -241,14 +310,11 @@ def f3(spark, sf_dir):
     return _test_signal(pcm(spark, sf_dir)).groupBy("stream").agg(F.count("*").alias("samples"), F.max(F.abs(d)).alias("max_abs"), F.round(F.avg(d * d), 8).alias("mse"), F.bool_and(d == 0).alias("bit_exact"))
 
 
-@plan("f4_pcm_hash")
+@plan("f4_pcm_hash", f"with recursive {PCM_SQL}, w as (select stream, n, (s + 65536) % 65536 as u from pcm), byt as (select stream, 2 * n as k, u % 256 as v from w union all select stream, 2 * n + 1, u // 256 from w), h as (select stream, -1::bigint as k, 14695981039346656037::hugeint as h from (select distinct stream from pcm) union all select byt.stream, byt.k, ((h.h - h.h % 256 + xor((h.h % 256)::bigint, byt.v::bigint)) * 1099511628211) % 18446744073709551616::hugeint from h join byt on byt.stream = h.stream and byt.k = h.k + 1) select stream, lpad(lower(to_hex(h::ubigint)), 16, '0') as hash from h qualify row_number() over (partition by stream order by k desc) = 1")
 def f4(spark, sf_dir):
-    """Rows only: unsigned 64-bit wrap."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"stream": [g["stream"][0]], "hash": [f"{folds.fnv1a(g['s'].to_numpy()):016x}"]})
-
-    return folds.per_stream(pcm(spark, sf_dir), run, "stream string, hash string", "n")
+    """Read in order, with the hash as the state."""
+    end = lambda stream, h: {"stream": [stream], "hash": [f"{h:016x}"]}
+    return folds.in_order(pcm(spark, sf_dir), "n", lambda c, h: (None, folds.fnv1a(c["s"], *([] if h is None else [h]))), "stream string, hash string", end)
 
 
 @plan("f5_pcm_summary", f"with {PCM_SQL} select stream, count(*) as samples, count(*) / {RATE}.0::double as seconds from pcm group by 1")
