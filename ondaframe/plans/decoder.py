@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
@@ -223,10 +224,10 @@ _CH = ["click", "view", "purchase", "search", "login", "logout"]
 def o1(spark, sf_dir):
     """The five streams, in name order, as the channels of a 5.0 frame in decoding order (centre first)."""
     p = pcm(spark, sf_dir)
-    names = [r["stream"] for r in p.select("stream").distinct().orderBy("stream").limit(5).collect()]
-    gains = spark.createDataFrame([(names[DOWNMIX_ORDER["5.0"][c]], a, b) for c, (a, b) in enumerate(DOWNMIX["5.0"])], "stream string, gl double, gr double")
-    # a fixed table of five rows
-    mix = p.join(F.broadcast(gains), "stream").groupBy("n").agg(F.sum(F.col("gl") * F.col("s")).alias("l"), F.sum(F.col("gr") * F.col("s")).alias("r"), F.count("*").alias("c"))
+    # a row per stream, numbered by name; the gains are a fixed table of five rows
+    numbers = p.select("stream").distinct().withColumn("ch", F.dense_rank().over(Window.orderBy("stream")) - 1)
+    gains = spark.createDataFrame([(DOWNMIX_ORDER["5.0"][c], a, b) for c, (a, b) in enumerate(DOWNMIX["5.0"])], "ch int, gl double, gr double")
+    mix = p.join(numbers.join(F.broadcast(gains), "ch"), "stream").groupBy("n").agg(F.sum(F.col("gl") * F.col("s")).alias("l"), F.sum(F.col("gr") * F.col("s")).alias("r"), F.count("*").alias("c"))
     return mix.where(F.col("c") == 5).select("n", F.round("l", 6).alias("left_x"), F.round("r", 6).alias("right_x"))
 
 

@@ -12,13 +12,13 @@ from .decoder import all_pole
 from .registry import plan
 
 
-@plan("u13_frame_class", f"with {frames_sql(64)}, c as (select stream, f, i, x >= 5000 as up, lag(x >= 5000) over (partition by stream, f order by i) as before from fr) select stream, f, count(*) filter (where up <> before) as crossings, case when count(*) filter (where up <> before) < 30 then 'speech' else 'music' end as mode from c group by all")
+@plan("u13_frame_class", f"with {PCM_SQL}, fr as (select stream, n // 1024 as f, n, s - 5000 as x from pcm), c as (select stream, f, case when (x >= 0) <> (lag(x >= 0) over (partition by stream, f order by n)) then 1 else 0 end as turn from fr) select stream, f, sum(turn)::bigint as crossings, case when sum(turn) < 80 then 'speech' else 'music' end as mode from c group by all")
 def u13(spark, sf_dir):
-    """Sign changes about a level of 5000 (the streams are all positive), fewer than 30 in 64 samples being speech."""
-    x = frames(pcm(spark, sf_dir), 64)
-    up = F.transform("x", lambda v: v >= 5000)
-    turns = F.aggregate(F.zip_with(F.slice(up, 1, 63), F.slice(up, 2, 63), lambda a, b: (a != b).cast("bigint")), F.lit(0).cast("bigint"), lambda s, v: s + v)
-    return x.select("stream", "f", turns.alias("crossings")).withColumn("mode", F.when(F.col("crossings") < 30, "speech").otherwise("music"))
+    """Zero crossings in 1,024 samples, fewer than 80 being speech.  The streams are all positive, so 5,000 is taken off them first; the last frame is as long as there are samples."""
+    cut = pcm(spark, sf_dir).groupBy("stream", F.floor(F.col("n") / 1024).alias("f")).agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("r"))
+    up = F.transform("r", lambda r: r["s"] >= 5000)
+    turns = F.aggregate(F.zip_with(F.slice(up, 1, F.size("r") - 1), F.slice(up, 2, F.size("r")), lambda a, b: (a != b).cast("bigint")), F.lit(0).cast("bigint"), lambda s, v: s + F.coalesce(v, F.lit(0)))
+    return cut.select("stream", "f", turns.alias("crossings")).withColumn("mode", F.when(F.col("crossings") < 80, "speech").otherwise("music"))
 
 
 @plan("u14_mode_unpack", "select event_id, case when m = 25 then '3333' when m = 24 then '2222' when m >= 20 then (m & 1) || '' || ((m >> 1) & 1) || '22' when m >= 16 then '22' || (m & 1) || '' || ((m >> 1) & 1) else (m & 1) || '' || ((m >> 1) & 1) || '' || ((m >> 2) & 1) || '' || ((m >> 3) & 1) end as modes from (select event_id, event_id % 26 as m from events) t")
@@ -108,14 +108,21 @@ def u5(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.posexplode(signs).alias("i", "sign")).where(F.col("i") > 0)
 
 
-@plan("u28_nearest_vector", "with c as (select vec_id as code, embedding as c from embeddings where vec_id < 256), q as (select vec_id, embedding as e from embeddings), d as (select vec_id, code, round(list_sum(list_transform(range(1, 17), lambda i: pow(e[i]::double - c[i]::double, 2))), 9) as d from q, c) select vec_id, cast((min((d, code))).code as bigint) as code from (select vec_id, min(struct_pack(d := d, code := code)) as m from d group by 1) t".replace("cast((min((d, code))).code as bigint)", "cast(m.code as bigint)"))
+_RISING = "q as (select vec_id, k, sum(0.2 + abs(x)) over (partition by vec_id order by k) as f from sp where k < 16), w as (select *, 1 / (f - lag(f, 1, 0) over o) + 1 / (lead(f, 1, 10) over o - f) as w from q window o as (partition by vec_id order by k)), c as (select unnest(range(256)) as code)"
+
+
+@plan("u28_nearest_vector", f"with {SPEC_SQL}, {_RISING}, d as (select vec_id, code, round(sum(w * pow(f - (k + 1) * (0.2 + code / 1024.0), 2)), 9) as d from w, c group by all) select vec_id, m.code as code from (select vec_id, min(struct_pack(d := d, code := code)) as m from d group by 1)")
 def u28(spark, sf_dir):
-    """Nearest of a codebook of 256 vectors in 16 dimensions, ties to the smaller code."""
-    x = spectra(spark, sf_dir).select("vec_id", F.slice("x", 1, 16).alias("x"))
-    # a codebook of 256 rows at most
-    book = x.where(F.col("vec_id") < 256).select(F.col("vec_id").alias("code"), F.col("x").alias("c"))
-    d = F.round(F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v), 9)
-    return x.crossJoin(F.broadcast(book)).groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), "code")).alias("m")).select("vec_id", F.col("m.code").alias("code"))
+    """Nearest of 256 evenly spaced spectra of 16 rising lines; a line weighs the more, the closer its neighbours are.  Ties go to the smaller code."""
+    step = F.transform(F.slice("x", 1, 16), lambda v: F.abs(v) + 0.2)
+    lines = F.transform(step, lambda _, k: F.aggregate(F.slice(step, 1, k + 1), F.lit(0.0), lambda a, v: a + v))
+    x = spectra(spark, sf_dir).select("vec_id", lines.alias("f"))
+    at = lambda k: F.when(k < 0, 0.0).when(k > 15, 10.0).otherwise(F.get("f", F.least(F.greatest(k, F.lit(0)), F.lit(15))))
+    weight = F.transform("f", lambda v, k: 1 / (v - at(k - 1)) + 1 / (at(k + 1) - v))
+    pairs = x.select("vec_id", F.arrays_zip(F.col("f"), weight.alias("w")).alias("p"))
+    far = lambda code: F.round(F.aggregate(F.transform("p", lambda p, k: p["w"] * F.pow(p["f"] - (k + 1) * (F.lit(0.2) + code / 1024), F.lit(2.0))), F.lit(0.0), lambda a, v: a + v), 9)
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda c: F.struct(far(c).alias("d"), c.cast("bigint").alias("code"))))
+    return pairs.select("vec_id", best["code"].alias("code"))
 
 
 @plan("u12_frequency_to_band", "with b as (select unnest(range(15)) as j, unnest([0, 4, 8, 12, 16, 20, 28, 36, 44, 56, 68, 80, 96, 112, 128]) as lo), c as (select event_id, j, abs(lo - event_id % 128) as d from events, b) select event_id, cast((min(struct_pack(d := d, j := j))).j as integer) as edge from c group by 1")
@@ -134,45 +141,3 @@ def u8(spark, sf_dir):
     """Of eight levels, that of least squared error to the lines' magnitudes."""
     errors = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")), lambda n: F.struct(F.aggregate("x", F.lit(0.0), lambda s, v: s + F.pow(F.abs(v) - F.pow(F.lit(2.0), (n - 14) / 3), F.lit(2.0))).alias("e"), n.alias("n")))
     return spectra(spark, sf_dir).select("vec_id", F.array_min(errors)["n"].alias("level"))
-
-
-@plan("t20_levinson")
-def t20(spark, sf_dir):
-    """Rows only: reflection coefficients and prediction error of order 4."""
-
-    def run(it):
-        for g in it:
-            rows = []
-            for x in g["x"]:
-                r = [float((x[k:] * x[: len(x) - k]).sum()) for k in range(5)]
-                a, error, ks = [1.0], max(r[0], 1e-12), []
-                for m in range(1, 5):
-                    k = -sum(a[j] * r[m - j] for j in range(m)) / error
-                    a = [1.0, *(p + k * q for p, q in zip([*a[1:], 0.0], [*a[:0:-1], 1.0], strict=True))]
-                    error = max(error * (1 - k * k), 1e-12)
-                    ks.append(k)
-                rows.append((ks, error))
-            yield pd.DataFrame({"vec_id": g["vec_id"], "reflection": [k for k, _ in rows], "error": [e for _, e in rows]})
-
-    return spectra(spark, sf_dir).mapInPandas(run, "vec_id bigint, reflection array<double>, error double")
-
-
-@plan("t14_qmf_energy")
-def t14(spark, sf_dir):
-    """Rows only: 32 complex bands of a sine-prototype filterbank per slot of 32 samples; power by band."""
-    import numpy as np
-
-    proto = T.sine_window(320) / 160
-    k, t = np.arange(32)[:, None], np.arange(320)[None, :]
-    bank = proto * np.exp(1j * np.pi / 32 * (k + 0.5) * (t - 16.5))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.zeros(288), g.sort_values("n")["s"].to_numpy() / FULL_SCALE])
-        slots = (len(x) - 288) // 32
-        y = np.abs(np.stack([x[i * 32 : i * 32 + 320] for i in range(slots)]) @ bank.T) ** 2 if slots else np.zeros((0, 32))
-        return pd.DataFrame({"stream": g["stream"].iloc[0], "band": range(32), "power": y.sum(axis=0)})
-
-    return pcm(spark, sf_dir).groupBy("stream").applyInPandas(run, "stream string, band int, power double")
-
-
-del PCM_SQL, X
