@@ -11,12 +11,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import psycho, quant
+from .operators import folds, streams
 from .operators import transforms as T
 from .sources import containers, signals
 
 Step = Callable[[DataFrame], DataFrame]
 
-read_adts, read_wav = containers.read_adts, containers.read_wav
+read_adts, read_wav, as_wav = containers.read_adts, containers.read_wav, containers.as_wav
+framed, elements, as_adts = streams.framed, streams.elements, streams.as_adts
+
+
+def encode(channels: list[str], rate: int = 44100, bitrate: int = 128_000, books: dict | None = None, shaping: bool = True) -> Step:
+    """Frames of 1,024 samples (stream, f, a column a channel; see framed) to payloads (stream, f, payload)."""
+    return streams.encode(channels, rate, bitrate, books, shaping)
+
+
+def decode(rate: int = 44100, books: dict | None = None) -> Step:
+    """Payloads to samples (stream, f, channel, samples, error), a frame late; what cannot be decoded gives its error."""
+    return streams.decode(rate, books)
+
+
+def loudness(rate: int, size: int = 4096) -> Step:
+    """Frames (stream, f, x of `size` samples over full scale) to (stream, f, y): K-weighted samples."""
+    return lambda df: folds.filtered(df, folds.cascade(folds.k_weighting(rate), size))
+
+
+def compare(other: DataFrame) -> Step:
+    """Samples (stream, n, s) against others: samples, exact, max_abs, rms and snr (dB; null where equal) by stream."""
+
+    def run(df: DataFrame) -> DataFrame:
+        d = F.col("s") - F.col("t")
+        both = df.select("stream", "n", "s").join(other.select("stream", "n", F.col("s").alias("t")), ["stream", "n"])
+        e = F.sum(d * d)
+        return both.groupBy("stream").agg(F.count("*").alias("samples"), F.sum((d == 0).cast("bigint")).alias("exact"), F.max(F.abs(d)).alias("max_abs"), F.sqrt(F.avg(d * d)).alias("rms"), F.when(e > 0, 10 * F.log10(F.sum(F.col("s") * F.col("s")) / e)).alias("snr"))
+
+    return run
 
 
 def frames(size: int = 1024, scale: float = 1.0) -> Step:

@@ -88,7 +88,7 @@ def resolutions(edges: np.ndarray, crossover: int) -> tuple[np.ndarray, np.ndarr
     if crossover >= len(edges):
         raise ValueError("the crossover is past the last band")
     fine = edges[crossover:]
-    return np.unique(np.concatenate([fine[:1], fine[::-2]])), fine
+    return fine[[0, *list(range(len(fine) - 1, 0, -2))[::-1]]], fine
 
 
 def noise_bands(coarse: np.ndarray, index: int) -> np.ndarray:

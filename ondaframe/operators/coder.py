@@ -337,6 +337,9 @@ def encode_block(spectra: list[np.ndarray], thresholds: list, entropy: list[floa
     widths = band_widths(rate, False)
     lengths = word_lengths(books)
     shaped = [shape_lines(x, rate, len(widths)) if shaping else (x, None) for x in spectra]
+    edge = offsets(widths)[:-1]
+    # what a filter takes from a band's energy, the decoder's puts back onto the noise
+    thresholds = [t if f is None else t * np.minimum(1.0, np.add.reduceat(y * y, edge) / np.maximum(np.add.reduceat(x * x, edge), 1e-30)) for t, x, (y, f) in zip(thresholds, spectra, shaped, strict=True)]
     room = budget - 3 - 7 - sum(8 + 11 + 3 + 120 * (f is not None) for _, f in shaped) - 10
     got = fit_channels([x for x, _ in shaped], widths, thresholds, room, entropy, lengths)
     channels = []

@@ -96,9 +96,9 @@ def s2(spark, sf_dir):
     return h.select("event_id", *[F.col(f"h.{c}").alias(c) for c in ("object_type", "rate", "channels", "length", "fullness", "protection_absent")])
 
 
-@plan("s1_adts_scan")
+@plan("s1_adts_scan", "select event_id // 16 as stream, event_id % 16 as frame, cast(coalesce(sum(size + junk) over w, 0) as bigint) as lo, cast(coalesce(sum(size + junk) over w, 0) + size as bigint) as hi from (select event_id, event_id % 90 + 7 as size, case when event_id % 5 = 0 then 4 else 0 end as junk from events) window w as (partition by event_id // 16 order by event_id rows between unbounded preceding and 1 preceding)")
 def s1(spark, sf_dir):
-    """Rows only: spans of frames in streams made of headers, payloads of zeros and junk."""
+    """Spans of frames in streams of 16 frames: headers, payloads of zeros, and junk that looks like a sync word."""
     i = F.col("event_id")
     size = (i % 90 + 7).cast("int")
     frame = F.concat(B.adts_header(F.lit(2), i % 13, F.lit(2), size, F.lit(0x7FF)), F.unhex(F.repeat(F.lit("00"), size - 7)), F.when(i % 5 == 0, F.unhex(F.lit("FF00FFF1"))).otherwise(F.unhex(F.lit(""))))

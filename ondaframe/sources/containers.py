@@ -80,6 +80,21 @@ def write_wav(samples: np.ndarray, rate: int) -> bytes:
     return head + body
 
 
+def as_wav(samples: DataFrame, rate: int) -> DataFrame:
+    """stream, content: a WAV file a stream of (stream, channel, samples array<smallint>), channels in order of number.
+
+    One row holds one file, as a file of 4 GB at most must be one piece of bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [write_wav(np.stack([np.asarray(c["samples"], "<i2") for c in channels], axis=1), rate) for channels in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["stream", "content"])
+
+    whole = samples.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("c"))
+    return whole.mapInArrow(run, f"stream {samples.schema['stream'].dataType.simpleString()}, content binary")
+
+
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
     """A row per file and channel; a file that cannot be read is one row with its error."""
 
