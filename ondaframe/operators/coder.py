@@ -5,6 +5,8 @@ Whole frames at a time in NumPy; the bit syntax is in payload.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from ..functions import books as K
@@ -297,6 +299,9 @@ def transform(block: np.ndarray) -> np.ndarray:
     return 2 * lines_of(block)
 
 
+_long, _short = functools.cache(frame_window), functools.cache(short_window)
+
+
 def halves(spec: np.ndarray, sequence: int, shape: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Time halves of a frame: the first if the frame before had shape 0, if it had shape 1, and the second."""
     n, out = LINES, []
@@ -307,9 +312,9 @@ def halves(spec: np.ndarray, sequence: int, shape: int) -> tuple[np.ndarray, np.
             step = n // 8
             for k in range(8):
                 at = n // 2 - step // 2 + k * step
-                x[at : at + 2 * step] += y[k] * short_window(n, k, SHAPE_NAMES[shape], before)
+                x[at : at + 2 * step] += y[k] * _short(n, k, SHAPE_NAMES[shape], before)
         else:
-            x = y[0] * frame_window(n, SEQUENCES[sequence], SHAPE_NAMES[shape], before)
+            x = y[0] * _long(n, SEQUENCES[sequence], SHAPE_NAMES[shape], before)
         out.append(x)
     return out[0][:n], out[1][:n], out[0][n:]
 

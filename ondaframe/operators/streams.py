@@ -100,15 +100,33 @@ def elements(frames: DataFrame, rate: int, books: dict | None = None) -> DataFra
     return by_row(frames.select("stream", "f", "payload"), rows, f"stream {frames.schema['stream'].dataType.simpleString()}, f bigint, at int, kind int, tag int, channels int, error string")
 
 
+def _lists(rows: list) -> pa.Array:
+    """array<double> of equal-length arrays, null where there is none."""
+    found = [r for r in rows if r is not None]
+    ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
+    flat = pa.array(np.concatenate(found) if found else np.zeros(0))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([r is None for r in rows]))
+
+
 def _halves(frames: DataFrame, rate: int, books: dict) -> DataFrame:
-    def rows(r: dict) -> list[dict]:
-        try:
-            got = C.decode_block(P.block(Reader(r["payload"]), [], rate, books), rate, r["f"])
-            return [{"stream": r["stream"], "f": r["f"], "channel": k, "shape": s, "a": a, "b": b, "tail": t, "error": None} for k, (s, a, b, t) in enumerate(got)]
-        except ValueError as e:
-            return [{"stream": r["stream"], "f": r["f"], "channel": None, "shape": None, "a": None, "b": None, "tail": None, "error": f"{type(e).__name__}: {e}"}]
+    """A row per frame and channel with its halves (see coder.halves), or one with its error."""
+    key = to_arrow_schema(StructType([frames.schema["stream"]])).field(0).type
+    names = ["stream", "f", "channel", "shape", "a", "b", "tail", "error"]
 
-    return by_row(frames.select("stream", "f", "payload"), rows, f"stream {frames.schema['stream'].dataType.simpleString()}, f bigint, channel int, shape int, a array<double>, b array<double>, tail array<double>, error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for stream, f, payload in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    try:
+                        got = C.decode_block(P.block(Reader(payload), [], rate, books), rate, f)
+                        out += [(stream, f, k, s, a, b, t, None) for k, (s, a, b, t) in enumerate(got)]
+                    except ValueError as e:
+                        out.append((stream, f, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                c = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], key), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), *map(_lists, c[4:7]), pa.array(c[7], pa.string())], names)
+
+    return frames.select("stream", "f", "payload").mapInArrow(run, f"stream {frames.schema['stream'].dataType.simpleString()}, f bigint, channel int, shape int, a array<double>, b array<double>, tail array<double>, error string")
 
 
 def to_pcm(x: Column) -> Column:
