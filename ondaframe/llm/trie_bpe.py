@@ -39,7 +39,7 @@ def _byte_letters() -> dict[str, int]:
 class TrieBPE(PartCache):
     """Encoder and decoder over a tokenizers JSON file with a byte-level BPE model."""
 
-    def __init__(self, path: str, room: int = 200_000):
+    def __init__(self, path: str, room: int = 500_000):
         super().__init__(room)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -127,7 +127,7 @@ class TrieBPE(PartCache):
         key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 400_000:
+            if len(self.fits) > 1_000_000:
                 self.fits.clear()
             known = self.fits[key] = self._apart(left, right)
         return known
