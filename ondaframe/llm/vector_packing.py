@@ -139,9 +139,12 @@ def _sequence_ids() -> Iterator[int]:
         at += 1
 
 
-def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, limits: Limits = Limits(), rows: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, limits: Limits = Limits(), rows: int = 256, room: int = 700_000) -> DataFrame:
     """Pack whole documents, cut where a sequence is full.
 
+    room: parts of texts that a worker keeps (see chunked.PartCache); fewer
+    take less memory and more time.
+
     Every token of a document counts towards the loss.  Returns a row per piece:
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  Null and
     empty texts hold only end_id.  Repeated rows are packed each for itself; an
@@ -152,7 +155,7 @@ def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, numbers = loaded(path, kind), Packer(limits), _sequence_ids()
+        encoder, packer, numbers = loaded(path, kind, room=room), Packer(limits), _sequence_ids()
         end = int(end_id).to_bytes(4, "little")
         rows_out: list[tuple] = []
 
