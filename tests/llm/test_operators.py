@@ -555,3 +555,18 @@ def test_word_sums_are_those_of_single_words():
     for k, x in enumerate(words):
         g = table.grams(x)
         assert count[k] == len(g) and np.allclose(sums[k], w[g].sum(axis=0), atol=1e-4)
+
+
+def test_forest_recall_on_a_full_shard():
+    """Uniform vectors, the hardest case: no prefix means much."""
+    s = lsh_forest.Settings()
+    x = np.random.default_rng(1).random((s.shard, 64))
+    forest = lsh_forest.Forest(x, s)
+    asked = np.arange(0, s.shard, 820)
+    hits, seen = [], []
+    for q, rows in zip(asked.tolist(), forest.candidates(x[asked], [np.array([q]) for q in asked.tolist()], 10), strict=True):
+        near, _ = exact_nearest(x, q, 10)
+        hits.append(len(np.intersect1d(near, rows)) / 10)
+        seen.append(len(rows) / s.shard)
+    assert np.mean(hits) >= 0.9 and np.mean(seen) < 0.75
+    print(np.mean(hits), np.mean(seen))
