@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .bitio import field
+from .bitio import field, flag
 
 #: Positions of low-frequency channels, most channels, most bands, most gain sequences.
 LOW_POSITIONS, MOST_CHANNELS, MOST_BANDS, MOST_SEQUENCES = (3, 26), 8, 8, 24
@@ -150,3 +150,32 @@ def offset_db(raw: int | None) -> float | None:
     return None if raw is None else (-1 if raw >> 5 else 1) * (1 + (raw & 31)) / 4
 
 
+def gain_set(io, r: dict, version: int, counter: int) -> tuple[dict, int]:
+    """profile (3: constant), spline, full_frame, aligned, time_step (null: not given), bands of (sequence, characteristic), split at crossovers or sub-bands; and the sequence counter after them.
+
+    A band takes the counter's next value, or in version 1 one of its own.
+    """
+    field(io, r, "profile", 2)
+    for name in ("spline", "full_frame", "aligned"):
+        flag(io, r, name)
+    r["time_step"] = io.u(11, (r.get("time_step") or 1) - 1) + 1 if io.u(1, r.get("time_step") is not None) else None
+    old, crossover = r.get("bands", [{}]), False
+    n = 1
+    if r["profile"] != 3:
+        n = io.u(4, len(old))
+        if n > MOST_BANDS:
+            raise ValueError(f"{n} bands")
+        crossover = bool(io.u(1, r.get("crossover", False))) if n > 1 else False
+    r["crossover"], out = crossover, []
+    for b in old if io.writing else [{} for _ in range(n)]:
+        if version and io.u(1, b.get("sequence") is not None):
+            counter = io.u(6, b.get("sequence") or 0)
+        else:
+            counter += 1
+        if counter >= MOST_SEQUENCES:
+            raise ValueError(f"gain sequence {counter}")
+        out.append({"sequence": counter, **characteristic(io, b, version)})
+    r["bands"] = out
+    width = 4 if crossover else 10
+    r["split"] = [io.u(width, x) for x in r.get("split") or [0] * (n - 1)] if n > 1 else []
+    return r, counter

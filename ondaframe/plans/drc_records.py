@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import drc_records as D
-from ..operators.bitio import Reader, written
+from ..operators.bitio import Reader, Writer, written
 from .registry import plan
 from .syntax import _event_rows
 
@@ -73,3 +73,19 @@ def o23(spark, sf_dir):
         return out
 
     return _event_rows(spark, sf_dir, f, "band int, target int, attenuation double, amplification double, offset_db double, shape int")
+
+
+@plan("o24_gain_set", "with e as (select event_id, event_id // 3 % 2 as version, case when event_id % 4 = 3 then 1 else 1 + event_id % 8 end as n from events) select event_id, event_id % 4 as profile, event_id % 5 = 0 as full_frame, case when event_id % 7 = 0 then event_id % 2048 + 1 end as time_step, k as band, case when version = 1 then case when k >= 2 then 10 + k - 2 else event_id % 3 + 1 + k end else event_id % 3 + 1 + k end as sequence, case when n > 1 and k > 0 then case when event_id % 2 = 1 then (event_id + k) % 16 else (event_id + k) % 1024 end end as split from (select *, unnest(range(n)) as k from e)")
+def o24(spark, sf_dir):
+    """The counter goes on from event_id % 3; in version 1 the third band sets it to 10."""
+
+    def f(e):
+        version, n = e // 3 % 2, 1 if e % 4 == 3 else 1 + e % 8
+        bands = [{"sequence": 10} if version and k == 2 else {} for k in range(n)]
+        old = {"profile": e % 4, "full_frame": e % 5 == 0, "time_step": e % 2048 + 1 if e % 7 == 0 else None, "bands": bands, "crossover": e % 2 == 1, "split": [(e + k) % (16 if e % 2 else 1024) for k in range(1, n)]}
+        io = Writer()
+        D.gain_set(io, old, version, e % 3)
+        r, _ = D.gain_set(Reader(io.data), {}, version, e % 3)
+        return [{"profile": r["profile"], "full_frame": r["full_frame"], "time_step": r["time_step"], "band": k, "sequence": b["sequence"], "split": r["split"][k - 1] if k else None} for k, b in enumerate(r["bands"])]
+
+    return _event_rows(spark, sf_dir, f, "profile int, full_frame boolean, time_step int, band int, sequence int, split int")
