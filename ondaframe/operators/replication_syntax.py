@@ -93,3 +93,29 @@ def flags(io, r: dict, envelopes: int, noise: int, noise_bands: int, fine_bands:
     else:
         r["sinusoids"] = None
     return r
+
+
+def deltas(io, rows: list[list[int]], over_time: list[bool], sizes: list[int], start_bits: int, book, before: list[int] | None, step: int = 1) -> list[list[int]]:
+    """Scalefactors or noise floors of envelopes in a row, each of `sizes` bands.
+
+    Over frequency: a start value, then steps from band to band.  Over time:
+    steps from the envelope before (from the last frame's last one at first),
+    whose bands are taken to this one's resolution by place.  Steps are symbols
+    of the book, about its middle one.
+    """
+    middle, out = len(book.symbols) // 2, []
+    for k, (along, n) in enumerate(zip(over_time, sizes, strict=True)):
+        last, mine = out[-1] if out else before, []
+        if along and not last:
+            raise ValueError("steps over time without an envelope before")
+        for b in range(n):
+            if along:
+                base = last[b * len(last) // n]
+            elif not b:
+                mine.append(io.u(start_bits, rows[k][0] // step if io.writing else 0) * step)
+                continue
+            else:
+                base = mine[-1]
+            mine.append(base + (io.symbol(book, ((rows[k][b] - base) // step if io.writing else 0) + middle) - middle) * step)
+        out.append(mine)
+    return out

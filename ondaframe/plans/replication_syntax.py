@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..functions import books as K
 from ..operators import bands as R
 from ..operators import replication_syntax as Y
-from ..operators.bitio import Reader, written
+from ..operators.bitio import Reader, Writer, written
 from ..sources.containers import parse_wav, write_wav
 from ..sources.signals import PCM_SQL, pcm
 from .filterbanks import _RATES
@@ -55,6 +56,32 @@ def b15(spark, sf_dir):
     return _event_rows(spark, sf_dir, f, "envelope_time int, noise_time int, modes int, sinusoids int")
 
 
+def _delta_rows(e: int, bits: int, step: int):
+    """Three envelopes of 5, 5 and 10 bands; the second and, for odd events, the third go over time."""
+    rows = [[(e * (b + 3) + 7 * k) % 30 * step for b in range(n)] for k, n in enumerate((5, 5, 10))]
+    over, sizes = [False, True, e % 2 == 1], [5, 5, 10]
+    io = Writer()
+    Y.deltas(io, rows, over, sizes, bits, K.by_rule()[K.STEPS], None, step)
+    got = Y.deltas(Reader(io.data), [], over, sizes, bits, K.by_rule()[K.STEPS], None, step)
+    return [{"envelope": k, "band": b, "value": v} for k, row in enumerate(got) for b, v in enumerate(row)]
+
+
+def _delta_sql(step: int) -> str:
+    return f"select event_id, k as envelope, b as band, (event_id * (b + 3) + 7 * k) % 30 * {step} as value from events, (select unnest([0, 1, 2]) as k), (select unnest(range(10)) as b) where b < case when k = 2 then 10 else 5 end"
+
+
+@plan("b10_envelope_scalefactors", _delta_sql(1))
+def b10(spark, sf_dir):
+    """Steps over frequency and time, the third envelope at twice the resolution."""
+    return _event_rows(spark, sf_dir, lambda e: _delta_rows(e, 7, 1), "envelope int, band int, value int")
+
+
+@plan("b11_noise_floors", _delta_sql(2))
+def b11(spark, sf_dir):
+    """With a start value of 5 bits and steps of two, as in a pair's second channel."""
+    return _event_rows(spark, sf_dir, lambda e: _delta_rows(e, 5, 2), "envelope int, band int, value int")
+
+
 @plan("b2_band_layout", "select event_id, true as whole from events")
 def b2(spark, sf_dir):
     """What must hold of a layout that can be derived: fine edges rise from the first band to the last, coarse and noise edges are some of them, and all begin and end alike."""

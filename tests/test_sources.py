@@ -5,8 +5,9 @@ import pandas as pd
 
 from ondaframe import api
 from ondaframe.functions.tables import LONG_48, SHORT_48
-from ondaframe.operators import folds
+from ondaframe.operators import folds, streams
 from ondaframe.sources import containers
+from ondaframe.streaming import coding
 from ondaframe.streaming import folds as streaming
 
 
@@ -59,6 +60,30 @@ def test_streams_are_the_same_however_cut(spark, tmp_path):
     assert np.allclose(np.concatenate([r.y for r in rows]), whole[:, 0]) and np.allclose(np.concatenate([r.gain for r in rows]), gain)
 
 
+def through(spark, tmp_path, name, rows, step):
+    """Blocks (n, x) of a stream, two at a time, through a streaming operator."""
+    source, out, state = (str(tmp_path / f"{name}-{k}") for k in ("in", "out", "state"))
+    schema = "stream string, n bigint, x array<double>"
+    for at in range(0, len(rows), 2):
+        spark.createDataFrame([("s", n, [float(v) for v in x]) for n, x in rows[at : at + 2]], schema).coalesce(1).write.mode("append").parquet(source)
+        step(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    return spark.read.parquet(out).orderBy("n").collect()
+
+
+def test_streaming_codes_as_the_batch_does(spark, tmp_path):
+    t = np.arange(5 * 1024)
+    x = (8000 * np.sin(0.07 * t) + 3000 * np.cos(0.9 * t)).reshape(5, 1024)
+    coded = through(spark, tmp_path, "encode", list(enumerate(x)), lambda df: coding.encode(df, 44100))
+    payloads = [bytes(int(v) for v in r.payload) for r in coded]
+    back = through(spark, tmp_path, "decode", list(enumerate(payloads)), lambda df: coding.decode(df, 44100))
+    assert np.concatenate([r.samples for r in back]).tolist() == streams.decode_whole(payloads, 44100)[0].tolist()
+    loud = x * 0.01
+    loud[3, 700:760] += 20000 * np.cos(2.1 * np.arange(60))
+    found = through(spark, tmp_path, "attacks", list(enumerate(loud)), coding.attacks)
+    y, _ = folds.highpass().then(loud.reshape(-1))
+    assert [int(r.place[0]) for r in found] == folds.attacks(folds.sub_energies(y.reshape(5, 1024)))[1].tolist() and int(found[3].place[0]) == 5
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
