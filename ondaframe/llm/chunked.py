@@ -15,6 +15,7 @@ blankness Python and the library differ, are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -75,6 +76,7 @@ class PartCache:
         """Joined ids of each list of parts."""
         if len(self.cache) > self.room:
             self.older, self.cache = self.cache, {}
+            gc.freeze()  # parts are in no cycle: the collector need not visit them
         cache, older = self.cache, self.older
         new = list(set().union(*cut).difference(cache))
         if older:
@@ -188,4 +190,5 @@ def loaded(path: str, kind: str, width: int = 4, room: int = 150_000) -> ChunkEn
     key = (path, kind, width, room)
     if key not in _loaded:
         _loaded[key] = ChunkEncoder(path, kind, width, room)
+        gc.freeze()
     return _loaded[key]

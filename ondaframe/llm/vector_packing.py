@@ -139,7 +139,7 @@ def _sequence_ids() -> Iterator[int]:
         at += 1
 
 
-def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, limits: Limits = Limits(), rows: int = 256, room: int = 700_000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, limits: Limits = Limits(), rows: int = 256, room: int = 1_000_000) -> DataFrame:
     """Pack whole documents, cut where a sequence is full.
 
     room: parts of texts that a worker keeps (see chunked.PartCache); fewer
