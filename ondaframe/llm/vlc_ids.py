@@ -66,7 +66,7 @@ def tokenize(docs: DataFrame, path: str, kind: str, end_id: int, rows: int = 256
     """doc_id, ids (16-bit little-endian, end_id appended), and one row a task that has only `seen` and `n`: how often it met each id.  Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(path, kind, width=2, room=700_000)
+        encoder = loaded(path, kind, width=2, room=1_000_000)
         end = int(end_id).to_bytes(2, "little")
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
