@@ -7,6 +7,7 @@ are frames, and no stream is ever whole in one place.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,11 +19,10 @@ from pyspark.sql.types import StructType
 
 from ..functions import bits as B
 from ..functions import books as K
-from ..functions.tables import RATES, band_widths
+from ..functions.tables import RATES
 from . import coder as C
 from . import payload as P
 from .bitio import Reader
-from .transforms import sine_window
 
 N = P.LINES
 
@@ -53,35 +53,41 @@ def framed(samples: DataFrame, size: int = N) -> DataFrame:
 def encode(channels: list[str], rate: int = 44100, bitrate: int = 128_000, books: dict | None = None, shaping: bool = True) -> Callable[[DataFrame], DataFrame]:
     """Step: frames (stream, f, and an array column of N samples a channel; one or two) to (stream, f, payload).
 
-    Long windows; a frame's payload keeps the bit rate.  The window behind the
-    last frame must be there (see framed): its block completes the samples.
+    A frame's payload keeps the bit rate.  Windows are long; where one frame is
+    much quieter than the one beside it they are short if that is cheaper (see
+    coder.prefers_short).  The window behind the last frame must be there (see
+    framed): its block completes the samples.
     books: see functions.books.
     """
     books = books or K.by_rule()
-    widths = band_widths(rate, False)
-    window = sine_window(2 * N)
     budget = bitrate * N // rate
-
-    def thresholds(x: np.ndarray) -> tuple[np.ndarray, float]:
-        edge = np.cumsum([0, *widths])[:-1]
-        energy = np.add.reduceat(x * x, edge)
-        spread = np.maximum(np.maximum(energy, 0.05 * np.roll(energy, 1) * (np.arange(len(energy)) > 0)), 0.01 * np.roll(energy, -1) * (np.arange(len(energy)) < len(energy) - 1))
-        t = np.maximum(spread * 10**-1.6, 1e-3)
-        return t, float((np.array(widths) * np.log2(1 + np.sqrt(energy / t))).sum())
+    #: Frames that a block is told of, by the place from its own: it is made of -1 and 0, and the others say what windows lie beside it.
+    near = {"o": -2, "p": -1, "x": 0, "n": 1}
 
     def code(r: dict) -> list[dict]:
-        spectra = [C.transform(np.concatenate([r[f"p{k}"], r[f"x{k}"]]) * window) for k in range(len(channels))]
-        t = [thresholds(x) for x in spectra]
-        return [{"stream": r["stream"], "f": r["f"], "payload": C.encode_block(spectra, [a for a, _ in t], [e for _, e in t], rate, budget, books, shaping)}]
+        of = {a: [np.array(r[f"{a}{k}"]) for k in range(len(channels))] if r[f"{a}0"] is not None else None for a in near}
+
+        def short(a: str, b: str, heard: bool) -> bool:
+            # the first block and the closing one have only one frame that is heard
+            return heard and of[a] is not None and of[b] is not None and C.prefers_short([np.concatenate(x) for x in zip(of[a], of[b], strict=True)], rate)
+
+        sequence = C.sequence_of(short("o", "p", True), short("p", "x", of["n"] is not None), short("x", "n", r["more"] is not None))
+        blocks = [np.concatenate(b) for b in zip(of["p"] or [np.zeros(N)] * len(channels), of["x"], strict=True)]
+        spectra, widths = [C.windowed_lines(b, sequence) for b in blocks], C.block_widths(rate, sequence)
+        t = [C.short_thresholds(b, x, rate) if sequence == P.SHORT else C.thresholds(x, widths) for b, x in zip(blocks, spectra, strict=True)]
+        entropy = [C.entropy(x, m, widths) for x, m in zip(spectra, t, strict=True)]
+        return [{"stream": r["stream"], "f": r["f"], "payload": C.encode_block(spectra, t, entropy, rate, budget, books, shaping, sequence)}]
 
     def run(df: DataFrame) -> DataFrame:
-        none = F.lit(None).cast("array<double>")
-        own = df.select("stream", "f", *[F.col(c).alias(f"x{k}") for k, c in enumerate(channels)], *[none.alias(f"p{k}") for k in range(len(channels))])
-        later = df.select("stream", (F.col("f") + 1).alias("f"), *[none.alias(f"x{k}") for k in range(len(channels))], *[F.col(c).alias(f"p{k}") for k, c in enumerate(channels)])
-        cols = [f"{a}{k}" for a in "xp" for k in range(len(channels))]
-        met = own.unionByName(later).groupBy("stream", "f").agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols]).where(F.col("x0").isNotNull())
-        zeros = F.array_repeat(F.lit(0.0), N)
-        return by_row(met.select("stream", "f", *[F.coalesce(c, zeros).alias(c) for c in cols]), code, f"stream {df.schema['stream'].dataType.simpleString()}, f bigint, payload binary")
+        cols = [f"{a}{k}" for a in near for k in range(len(channels))]
+
+        def sent(place: int) -> DataFrame:
+            arrays = [(F.col(c) if at == place else F.lit(None)).cast("array<double>").alias(f"{a}{k}") for a, at in near.items() for k, c in enumerate(channels)]
+            return df.select("stream", (F.col("f") - place).alias("f"), *arrays, (F.lit(True) if place == 2 else F.lit(None).cast("boolean")).alias("more"))
+
+        every = functools.reduce(DataFrame.unionByName, map(sent, (*near.values(), 2)))
+        met = every.groupBy("stream", "f").agg(*[F.first(c, ignorenulls=True).alias(c) for c in [*cols, "more"]]).where(F.col("x0").isNotNull())
+        return by_row(met, code, f"stream {df.schema['stream'].dataType.simpleString()}, f bigint, payload binary")
 
     return run
 

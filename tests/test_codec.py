@@ -136,3 +136,20 @@ def test_geometric_bands(scale, warp):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "stream string, n bigint, s int")
     assert api.framed(none).transform(api.encode(["x"])).transform(api.decode()).count() == 0
+
+
+def test_frames_beside_much_louder_ones_come_back(spark, tmp_path):
+    """d16_frame_decode on streams that end a few samples into a frame, or begin with, or hold, a quiet frame."""
+    from ondaframe.plans import coding
+
+    rnd, loud, rows = np.random.default_rng(4), 1024, []
+    for left in (1, 2, 7, 60, 300):
+        quiet = [*rnd.exponential(50.0, left), *[0.0] * (1024 - left)]
+        first, last = rnd.exponential(50.0, (2, loud))
+        for name, x in (("ends", [*first, *last, *quiet[:left]]), ("begins", [*quiet[::-1], *first]), ("holds", [*first, *quiet, *last])):
+            rows += [(f"{name}{left}", float(v)) for v in x]
+    spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "event_id bigint, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = coding.d16(spark, str(tmp_path)).collect()
+    assert len(got) == 5 * (3 + 2 + 3) * 2
+    assert [r for r in got if not r["good"]] == []
+    assert [coder.sequence_of(*x) for x in ((False, True, False), (True, False, True), (False, False, True), (True, False, False), (False, False, False))] == [P.SHORT, P.SHORT, 1, 3, 0]
