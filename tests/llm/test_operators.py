@@ -4,10 +4,12 @@ import glob
 import hashlib
 import math
 import os
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +329,26 @@ def test_features_are_words_stems_pairs_and_skip_grams():
     assert len(set(ftrl_toxicity.features(c, 20).tolist()) - both) == 1  # the skip-gram
 
 
+def test_toxicity_unpacks_few_texts_at_a_time(spark, monkeypatch):
+    """Scoring a batch of 32 MB of text takes far less than that in Python objects, and batches out are small."""
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    caught = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *more: caught.append(f) or self)
+    model = (-1.0, np.array([ftrl_toxicity.features(ftrl_toxicity.WordHasher().words("bad"), 20)[0]], np.int32), np.array([5.0]))
+    ftrl_toxicity.score(docs, model, ["doc_id"])
+    texts = [f"{'good ' * 1600}{'bad' if k % 2 else ''}" for k in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(4000), pa.int64())], ["_t", "doc_id"])
+    assert batch.nbytes > 30 << 20
+    del texts
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    got = list(caught[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 20 << 20 and max(b.num_rows for b in got) <= 256
+    assert [y for b in got for y in b.column(2).to_pylist()] == [0, 1] * 2000
+
+
 def test_language_on_held_out_documents(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     rows = queries.op9_ecoc_langid(spark, SF).collect()
