@@ -30,6 +30,8 @@ _OTHER_BLANK = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u
 _ODD_BLANK = re.compile("[\x1c-\x1f]")
 #: Marks the first part of a text; no other part has a blank after a line end.
 _FIRST = "\n "
+#: Words of letters that every Unicode version knows.
+_LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 #: Longer chunks are encoded but not kept.
 _KEPT_CHARS = 64
 
@@ -78,7 +80,10 @@ class PartCache:
             self.older, self.cache = self.cache, {}
             gc.freeze()  # parts are in no cycle: the collector need not visit them
         cache, older = self.cache, self.older
-        new = list(set().union(*cut).difference(cache))
+        # the parts of these texts in a dictionary of their own, which is small enough to stay near the processor
+        parts = list(set().union(*cut))
+        here = dict(zip(parts, map(cache.get, parts)))
+        unknown = new = [p for p, x in here.items() if x is None]
         if older:
             again = list(map(older.get, new))
             cache.update((p, x) for p, x in zip(new, again, strict=True) if x is not None)
@@ -95,7 +100,8 @@ class PartCache:
             tail = {m: self.encode_mark(m) for m in ".,"}
             cache.update((p, cache[s] + tail[p[-1]]) for p, s in zip(marked, stems, strict=True))
             new += marked
-        out = [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        here.update(zip(unknown, map(cache.__getitem__, unknown)))
+        out = [b"".join(map(here.__getitem__, parts)) for parts in cut]
         for p in new:
             if len(p) > _KEPT_CHARS:
                 del cache[p]
@@ -123,11 +129,14 @@ class ChunkEncoder(PartCache):
         #: Tokens that begin with a space or a line end, as byte-level vocabularies write them.
         self.opens = np.zeros(max(self.lib.get_vocab().values()) + 1, dtype=bool)
         self.opens[[i for t, i in self.lib.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
+        #: Tokens that end a pre-token, as the word vocabulary writes them.
+        self.closes = np.zeros(len(self.opens), dtype=bool)
+        self.closes[[i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode_new(self, parts: list[str]) -> dict[str, bytes]:
         """One call of the library for a thousand parts."""
         if self.kind == "word":
-            return dict(zip(parts, self._by_word(parts), strict=True))
+            return self._plain_words(parts)
         firsts = [p for p in parts if p[:2] == _FIRST]
         rest = list(set(parts).difference(firsts)) if firsts else parts
         out = dict(zip(firsts, self._by_word([p[2:] for p in firsts]), strict=True))
@@ -137,6 +146,19 @@ class ChunkEncoder(PartCache):
             out.update(zip(row, self._by_blank(np.asarray(e.ids, dtype=self.dtype), len(row)) or self._by_word(own), strict=True))
         return out
 
+    def _plain_words(self, parts: list[str]) -> dict[str, bytes]:
+        """Words of Latin letters are one pre-token each: a thousand go as one text, to be cut where tokens end a word; the others are pre-split."""
+        plain = [p for p in parts if _LATIN.fullmatch(p)] if self.closes.any() else []
+        rest = list(set(parts).difference(plain)) if plain else parts
+        out = dict(zip(rest, self._by_word(rest), strict=True))
+        rows = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for row, e in zip(rows, self.lib.encode_batch_fast([" ".join(row) for row in rows], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype=self.dtype)
+            data, ends = ids.tobytes(), [0, *((np.flatnonzero(self.closes[ids]) + 1) * self.size).tolist()]
+            # a letter that is made two by lower-casing can end a word too early
+            out.update(zip(row, [data[a:b] for a, b in zip(ends, ends[1:])] if len(ends) == len(row) + 1 else self._by_word(row), strict=True))
+        return out
+
     def _by_blank(self, ids: np.ndarray, parts: int) -> list[bytes] | None:
         """Ids of parts that were encoded as one text, if only the first byte of each is a space or line end: there a token begins."""
         at = np.flatnonzero(self.opens[ids])

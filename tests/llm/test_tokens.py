@@ -35,6 +35,42 @@ def test_parts_encode_as_the_library():
         assert ChunkEncoder(path, kind).encode([None, ""]) == [b"", b""]
 
 
+def test_plain_words_go_as_one_text():
+    """Only words of other than Latin letters are pre-split; letters that are two or gone after lower-casing too."""
+    enc, seen = ChunkEncoder(WORD, "word"), []
+    by_word = enc._by_word
+    enc._by_word = lambda parts: seen.extend(parts) or by_word(parts)
+    plain = [f"{a}{b}{c}" for a in ("Wort", "été", "ÀÉÎ", "ŷß", "łŁ") for b in "abcdefgh" for c in ("", "S", "ñ")]
+    odd = ["don't", "a1", "漢字", "x-y", "ſt", "K", "日", "!!", "e\u0301"]
+    other = ["İstanbul", "aİb", "İİ"]
+    for words in (plain + odd, plain + odd + other):
+        texts = [" ".join(words), " ".join(reversed(words))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == ids(Tokenizer.from_file(WORD), texts)
+        if words[-1] == odd[-1]:
+            assert not {*seen} & {*plain} and {"don't", "漢字"} <= {*seen}
+        enc.cache.clear()
+
+
+def test_parts_are_looked_up_once_for_many_texts():
+    enc = ChunkEncoder(BYTE, "byte")
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *x):
+            Counted.n += 1
+            return super().get(*x)
+
+        def __getitem__(self, x):
+            Counted.n += 1
+            return super().__getitem__(x)
+
+    enc.cache = Counted()
+    texts = ["one two three one two three " * 100 + str(k) for k in range(50)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == ids(Tokenizer.from_file(BYTE), texts)
+    assert Counted.n < 300  # of 30,000 parts 54 are different
+
+
 def test_trie_encodes_and_decodes_as_the_library():
     texts = ODD + fuzz()
     lib, bpe = Tokenizer.from_file(BYTE), TrieBPE(BYTE)
