@@ -29,18 +29,22 @@ from .chunked import loaded
 from .common import stage_out
 
 MAGIC = b"FVB1"
-_LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64) + 1
+_LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
 
 def encode_block(values: np.ndarray) -> bytes:
     """Code unsigned 32-bit values."""
     v = np.ascontiguousarray(values, dtype="<u4")
     n = len(v)
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    most = int(v.max()) if n else 0
+    widest = 1 + (most > 0xFF) + (most > 0xFFFF) + (most > 0xFFFFFF)
     two_bits = np.zeros((n + 3) // 4 * 4, dtype=np.uint8)
-    two_bits[:n] = size - 1
-    control = (two_bits.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(n, 4)[np.arange(4) < size[:, None]]
+    kept = np.ones((n, widest), dtype=bool)
+    for k in range(1, widest):
+        kept[:, k] = v >= 1 << 8 * k
+        two_bits[:n] += kept[:, k]
+    control = two_bits[::4] | two_bits[1::4] << 2 | two_bits[2::4] << 4 | two_bits[3::4] << 6
+    data = v.view(np.uint8).reshape(n, 4)[:, :widest][kept]
     return MAGIC + n.to_bytes(4, "little") + control.tobytes() + data.tobytes()
 
 
@@ -54,9 +58,9 @@ def decode_block(block: bytes) -> np.ndarray:
         return np.zeros(0, dtype=np.uint32)
     length = _LENGTHS[np.frombuffer(block, np.uint8, groups, 8)].reshape(-1)[:n]
     data = np.concatenate([np.frombuffer(block, np.uint8, offset=8 + groups), np.zeros(3, np.uint8)])
-    at = np.cumsum(length) - length
+    at = np.cumsum(length, dtype=np.int64) - length
     out = data[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(length.max())):
         more = np.flatnonzero(length > k)
         out[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
