@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import parts
 from .chunked import loaded
 from .common import stage_out
 
@@ -66,20 +67,31 @@ def decode_block(block: bytes) -> np.ndarray:
     return out
 
 
+def _encoded(column: pa.Array, path: str, kind: str, end_id: int, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For some rows after the other: the first, their ids with end_id one after the other, how many each row has.  rows: at once, where texts do not go by bytes."""
+    if kind == "byte":
+        encoder = parts.loaded(path, end_id)
+        for at, texts, ends in encoder.columns(column):
+            yield at, *encoder.encode_column(texts, ends)
+        return
+    encoder, end = loaded(path, kind, width=2, room=1_000_000), int(end_id).to_bytes(2, "little")
+    for at in range(0, len(column), rows):
+        got = [x + end for x in encoder.encode(column.slice(at, rows).to_pylist())]
+        yield at, np.frombuffer(b"".join(got), "<u2"), np.array([len(x) // 2 for x in got])
+
+
 def tokenize(docs: DataFrame, path: str, kind: str, end_id: int, rows: int = 256, vocabulary: int = 1 << 16) -> DataFrame:
     """doc_id, ids (16-bit little-endian, end_id appended), and one row a task that has only `seen` and `n`: how often it met each id.  Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(path, kind, width=2, room=1_000_000)
-        end = int(end_id).to_bytes(2, "little")
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                got = [x + end for x in encoder.encode(part.column(1).to_pylist())]
-                total += np.bincount(np.frombuffer(b"".join(got), "<u2"), minlength=vocabulary)
+            for at, ids, count in _encoded(batch.column(1), path, kind, end_id, rows):
+                total += np.bincount(ids, minlength=vocabulary)
+                ends = np.concatenate([[0], np.cumsum(2 * count)]).astype(np.int32)
+                got = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2", copy=False))])
                 none = pa.nulls(len(got), pa.list_(pa.int32())), pa.nulls(len(got), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), *none], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), got, *none], names)
         seen = np.flatnonzero(total)
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.binary()), pa.array([seen], pa.list_(pa.int32())), pa.array([total[seen]], pa.list_(pa.int64()))], names)

@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from ondaframe.llm import trie_bpe, vector_packing, vlc_ids
+from ondaframe.llm import parts, trie_bpe, vector_packing, vlc_ids
 from ondaframe.llm.chunked import ChunkEncoder
 from ondaframe.llm.trie_bpe import TrieBPE
 
@@ -210,3 +211,54 @@ def test_conversations_stay_whole_under_all_limits(spark):
     for x in by_seq.values():
         assert len(x) == 1 or (sum(r.tokens for r in x) <= 2048 and len(x) <= 4 and sum(r.loss for r in x) <= 600)
     assert len(by_seq) < len(rows)
+
+
+def test_parts_of_a_batch_encode_as_the_library():
+    """Also after parts were forgotten, in small slices and from the middle of a column."""
+    texts = [*ODD, *fuzz(), None, "a.b c.\nd, é. ×, 5, x.", "a b 　c \nd  ", "q\0 \0q", "x" * 100_000, "one " * 1000]
+    lib = Tokenizer.from_file(BYTE)
+    truth = [t + [2] for t in ids(lib, [t or "" for t in texts])]
+    for room, size in ((50, 300), (1000, 10_000), (100_000, 1 << 20)):
+        enc, got = parts.PartEncoder(BYTE, 2, room), []
+        for at, column, ends in enc.columns(pa.array(["before", *texts]).slice(1), size):
+            assert at == len(got)
+            flat, n = enc.encode_column(column, ends)
+            got += [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+        assert got == truth
+        assert enc.parts.n <= room + 10_000
+    assert not [*enc.columns(pa.array([], pa.string()))]
+
+
+def test_known_parts_do_not_go_to_the_library(monkeypatch):
+    """Nor does a batch of known parts become a Python object a part."""
+    texts = pa.array(["one two, three. " * 100 + "Four" for k in range(50)])
+    enc = parts.PartEncoder(BYTE, 2)
+    run = lambda: [enc.encode_column(column, ends)[0].tolist() for _, column, ends in enc.columns(texts)]
+    first = run()
+    monkeypatch.setattr(enc, "_add", None)
+    assert run() == first
+    monkeypatch.setattr(parts, "loaded", lambda path, end: enc)
+    monkeypatch.setattr(vlc_ids, "loaded", None)
+    [(at, flat, n)] = vlc_ids._encoded(texts, BYTE, "byte", 2, 256)
+    assert (at, flat.tolist(), n.sum()) == (0, first[0], len(flat))
+
+
+def test_parts_of_a_worker_are_bounded():
+    """Frequent ones stay, long ones too."""
+    enc = parts.PartEncoder(BYTE, 2, room=400)
+    for k in range(40):
+        texts = pa.array([" often the same andthesameagainandagain " + " ".join(f"w{k}x{i} along{'x' * 20}{k}x{i}" for i in range(60))])
+        for _, column, ends in enc.columns(texts):
+            enc.encode_column(column, ends)
+        table = enc.parts
+        assert table.n <= 600 and len(table.long) <= 200
+        enc._encode_parts, put = None, enc._encode_parts
+        for _, column, ends in enc.columns(pa.array([" often the same andthesameagainandagain"] if k else [])):
+            enc.encode_column(column, ends)
+        enc._encode_parts = put
+
+
+def test_ids_of_words_by_rows():
+    texts = pa.array([*ODD, None])
+    got = [x.tolist() for _, flat, n in vlc_ids._encoded(texts, WORD, "word", 1, 4) for x in np.split(flat, np.cumsum(n)[:-1])]
+    assert got == [t + [1] for t in ids(Tokenizer.from_file(WORD), [t or "" for t in texts.to_pylist()])]
